@@ -4,13 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hushframe.llm import decontaminate, mixing, simhash
+from hushframe.llm import (
+    decontaminate,
+    html_text,
+    language,
+    line_dedup,
+    mixing,
+    neighbours,
+    pii,
+    quality,
+    secrets,
+    simhash,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark, sf_dir):
+    return quality.quality_of_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_secret_scan(spark, sf_dir):
+    return secrets.secrets_of_documents(_table(spark, sf_dir, "documents"))
+
+
+def op3_personal_data(spark, sf_dir):
+    return pii.personal_data_of_documents(_table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark, sf_dir):
+    return language.language_of_documents(_table(spark, sf_dir, "documents"))
+
+
+def op5_nearest_neighbours(spark, sf_dir):
+    return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_html_extraction(spark, sf_dir):
+    return html_text.text_of_pages(_table(spark, sf_dir, "pages"))
+
+
+def op7_line_dedup(spark, sf_dir):
+    return line_dedup.line_duplicates_of_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark, sf_dir):
     return mixing.pareto_mix(_table(spark, sf_dir, "documents"))
 
@@ -23,7 +62,21 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op8_mix_sources, op9_simhash_near_dedup, op10_benchmark_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_secret_scan,
+        op3_personal_data,
+        op4_language_id,
+        op5_nearest_neighbours,
+        op6_html_extraction,
+        op7_line_dedup,
+        op8_mix_sources,
+        op9_simhash_near_dedup,
+        op10_benchmark_decontamination,
+    )
+}
 
 ORACLE_SQL = {
     "op10_benchmark_decontamination": r"""
