@@ -154,3 +154,13 @@ def pareto_mix(
     return marked.join(small(closing), "ix", "left").select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that the mix takes, with copies and taken added; a doc_id that repeats has its most copies."""
+    taken = pareto_mix(docs, **options).where("copies > 0")
+    taken = taken.groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id")).agg(
+        F.max("copies").alias("copies"), F.max("taken").alias("taken")
+    )
+    own = docs.drop("copies", "taken").withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63))))
+    return own.join(taken, "_id").drop("_id")

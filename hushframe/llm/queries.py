@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from hushframe.llm import (
@@ -76,7 +77,7 @@ QUERIES = {
         op9_simhash_near_dedup,
         op10_benchmark_decontamination,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 
 ORACLE_SQL = {
     "op10_benchmark_decontamination": r"""
@@ -99,3 +100,6 @@ ORACLE_SQL = {
            coalesce(n_hit, 0) > 0 contaminated
     FROM w LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)""",
 }
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -135,9 +135,12 @@ def near_pairs(a: np.ndarray, b: np.ndarray, same: bool, allowed: list[int], dep
             stack.append((depth + 1, pairs))
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-    """Links that hold together what pairs hold together, at most n - 1, nearer pairs first within a batch."""
-    parent = np.arange(n)
+def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Links that hold together what pairs hold together, at most n - 1, nearer pairs first within a batch.
+
+    Also the root of each of the n, and the number of its pairs.
+    """
+    parent, degree = np.arange(n), np.zeros(n, np.int64)
 
     def root(x: np.ndarray) -> np.ndarray:
         while True:
@@ -148,6 +151,7 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -
 
     kept = []
     for i, j, d in pairs:
+        degree += np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
         order = np.argsort(d, kind="stable")
         i, j = i[order], j[order]
         while len(i):
@@ -161,14 +165,27 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -
             who, first = np.unique(hi, return_index=True)
             parent[who] = lo[first]
             kept += zip(i[first].tolist(), j[first].tolist())
-    return kept
+    return kept, root(np.arange(n)), degree
+
+
+def hub_links(roots: np.ndarray, degree: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """Of the pairs those with the member of a group that has most pairs, as a text has with its altered copies."""
+    order = np.lexsort((-np.arange(len(roots)), degree, roots))
+    hub = np.zeros(len(roots), bool)
+    hub[order[np.append(roots[order][1:] != roots[order][:-1], True)]] = True
+    out = []
+    for i, j, _ in pairs:
+        at = hub[i] | hub[j]
+        out += zip(i[at].tolist(), j[at].tolist())
+    return out
 
 
-def hamming_forest(prints: DataFrame, budget: int, label: str) -> DataFrame:
+def hamming_forest(prints: DataFrame, budget: int, label: str, hubs: bool = False) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column ``fp``) that differ in at most ``budget`` bits.
 
     Not all links come back but a forest from each pair of shards, which connects the same fingerprints: a group of
-    m fingerprints that are all near each other gives m links, not m squared.
+    m fingerprints that are all near each other gives m links, not m squared. With ``hubs`` the links of each group's
+    best linked member come too, for callers that verify links: again no more than members.
     The top of the trie is dealt out: each fingerprint goes, for each bit order, to the pairs of prefixes within the
     first block's budget, and each task goes down below one such pair of nodes.
     """
@@ -202,10 +219,15 @@ def hamming_forest(prints: DataFrame, budget: int, label: str) -> DataFrame:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         shift = 0 if lo == hi else len(a)
         both = a if lo == hi else np.concatenate([a, b])
-        found = (
-            (i, j + shift, np.bitwise_count(a[i] ^ b[j])) for i, j in near_pairs(a, b, lo == hi, allowed, k, diff)
-        )
-        links = np.array(forest(len(both), found), np.int64).reshape(-1, 2)
+
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for i, j in near_pairs(a, b, lo == hi, allowed, k, diff):
+                yield i, j + shift, np.bitwise_count(a[i] ^ b[j])
+
+        links, roots, degree = forest(len(both), found())
+        if hubs and links:
+            links += hub_links(roots, degree, found())
+        links = np.array(links, np.int64).reshape(-1, 2)
         back = rotated(both, (BITS - by) % BITS).view(np.int64)
         return pd.DataFrame({"a": back[links[:, 0]], "b": back[links[:, 1]]})
 
@@ -231,3 +253,69 @@ def simhash_classes(docs: DataFrame, width: int = 3, budget: int = 2, seed: int
     classes = staged(named.join(least, "root").select("fp", "component_id"), "simhash-classes")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(classes, "fp").select("doc_id", "fp", hexed.alias("fingerprint"), "component_id")
+
+
+def near_duplicate_links(docs: DataFrame, width: int = 5, similarity: float = 0.8, budget: int = 8, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
+    """Links (a, b) between the nodes (hashes) of different texts whose ``width``-word shingle sets are that similar.
+
+    Similarity is the Jaccard index. Candidates come from fingerprints of word pairs, which an edit disturbs less than
+    it does longer shingles: two independent ones, each joined within ``budget`` bits; of the candidates a forest and
+    the links of each group's best linked member are verified on the texts' shingles. At the similarity 0.8 a pair's
+    fingerprints differ in about 6 of 64 bits, so that a few in a hundred such pairs are in neither join.
+    """
+    texts = docs.select(F.xxhash64("text").alias("node"), "text")
+    prints = [fingerprint(F.col("text"), 2, s, distinct=True).alias(f"fp{i}") for i, s in enumerate(seeds)]
+    marked = staged(texts.select("node", *prints), "near-prints").distinct()
+    pairs = None
+    for i in range(len(seeds)):
+        own = marked.select("node", F.col(f"fp{i}").alias("fp"))
+        firsts = staged(own.groupBy("fp").agg(F.min("node").alias("first")), "near-distinct")
+        links = hamming_forest(firsts.select("fp"), budget, "near-links", hubs=True)
+        across = links.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("u")), "a").join(
+            firsts.select(F.col("fp").alias("b"), F.col("first").alias("v")), "b"
+        )
+        within = own.join(firsts, "fp").where("node != first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+        both = across.select("u", "v").union(within)
+        pairs = both if pairs is None else pairs.union(both)
+    pairs = staged(pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "near-met")
+
+    @F.pandas_udf("array<long>")
+    def shingle_set(batch: pd.Series) -> pd.Series:
+        out = []
+        for text in batch:
+            grams = set(shingles(fold_ascii(text), width))
+            out.append(np.sort(np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), np.uint64)).view(np.int64))
+        return pd.Series(out)
+
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = texts.join(needed, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
+    sets = staged(sets.select("node", shingle_set("text").alias("s")), "near-shingles")
+    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b"
+    )
+    shared = F.size(F.array_intersect("sa", "sb"))
+    ratio = F.try_divide(shared, F.size("sa") + F.size("sb") - shared)
+    return staged(full.where(ratio >= similarity).select("a", "b"), "near-verified")
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document of each group of near-duplicates: the one of least doc_id.
+
+    Equal texts are in one group, and so are texts that links lead to (see ``near_duplicate_links``). All null texts
+    are one group, and all texts without a word that are equal. Null doc_ids come last; of rows that agree in doc_id
+    and text one stays. docs' columns.
+    """
+    last = F.lit(2**63 - 1)
+    roots = components(near_duplicate_links(docs, width, similarity), "near-components")
+    own = docs.select(F.coalesce("doc_id", last).alias("_id"), F.xxhash64("text").alias("_node"))
+    classes = own.groupBy("_node").agg(F.min("_id").alias("_id"))
+    classes = classes.join(roots.withColumnRenamed("node", "_node"), "_node", "left")
+    # The least document of a class, and its text.
+    kept = (
+        classes.groupBy(F.coalesce("root", "_node").alias("root"))
+        .agg(F.min(F.struct("_id", "_node")).alias("k"))
+        .select("k._id", "k._node")
+    )
+    kept = staged(kept, "near-kept")
+    marked = docs.withColumn("_id", F.coalesce("doc_id", last)).withColumn("_node", F.xxhash64("text"))
+    return marked.join(kept, ["_id", "_node"], "left_semi").dropDuplicates(["_id", "_node"]).select(docs.columns)
