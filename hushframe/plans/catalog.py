@@ -1,6 +1,7 @@
-"""Named queries over the driver's tables, each with the SQL that must give the same rows."""
+"""Named queries over the driver's tables, each with the SQL that must give the same rows where SQL can express it."""
 
-from hushframe.plans import text_queries
+from hushframe.plans import event_queries, page_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES}
-ORACLE_SQL = {**text_queries.ORACLE_SQL}
+_PARTS = (text_queries, page_queries, event_queries)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
