@@ -143,19 +143,25 @@ def redact(text: Column, spans: Column) -> Column:
 def tokenise(text: Column, profile: str = "browser") -> Column:
     """Each match of each shape, in the profile's order, becomes [CLASS_n], n counted by class from left to right."""
     for cls, pattern in rules.FORMATS[profile]:
-        spans = spans_of(text, pattern, cls)
-        if cls == "AADHAAR":
-            spans = F.filter(spans, lambda x: verhoeff_ok(x["text"]))
-        numbered = F.transform(
-            spans,
-            lambda x, i, cls=cls: F.struct(
-                x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit(f"[{cls}_"), i + 1, F.lit("]")).alias("token")
-            ),
-        )
-        text = F.when(F.size(spans) > 0, splice(text, numbered)).otherwise(text)
+        text = let(text, _numbering(cls, pattern))
     return text
 
 
+def _numbering(cls: str, pattern: str):
+    return lambda text: _numbered(text, cls, pattern)
+
+
+def _numbered(text: Column, cls: str, pattern: str) -> Column:
+    spans = spans_of(text, pattern, cls)
+    if cls == "AADHAAR":
+        spans = F.filter(spans, lambda x: verhoeff_ok(x["text"]))
+
+    def token(x: Column, i: Column) -> Column:
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit(f"[{cls}_"), i + 1, F.lit("]")).alias("token"))
+
+    return let(spans, lambda found: F.when(F.size(found) > 0, splice(text, F.transform(found, token))).otherwise(text))
+
+
 def contextual_spans(text: Column, profile: str = "runtime") -> Column:
     """Addresses in free text; where there are none, names that are not on the profile's list."""
     addresses = spans_of(text, rules.ADDRESS, "ADDRESS")
