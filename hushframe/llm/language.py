@@ -98,7 +98,7 @@ class SlicedFilter:
         return found, n
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not any(_letters()[np.frombuffer(p.encode("utf-32-le", "surrogatepass"), np.uint32)].any() for p in pieces(text)):
+        if not self.langs or not text or not any(_letters()[np.frombuffer(p.encode("utf-32-le", "surrogatepass"), np.uint32)].any() for p in pieces(text)):
             return "und", 0.0
         found, n = self.counts(text)
         # What is left once the expected false positives among the other n-grams are taken off.
@@ -149,7 +149,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_grams: int = GRAM
 def identify(docs: DataFrame, model: SlicedFilter) -> DataFrame:
     """Adds lang_pred and score (the predicted language's share of all corrected popcounts) to each row of docs.
 
-    Null texts and texts without a letter are ``und`` with score 0; letters of which no filter knows an n-gram give
+    Null texts and texts without a letter are ``und`` with score 0, and so is all if no language was learned; letters of which no filter knows an n-gram give
     the most frequent language with score 0. Ties go to the language first in code-point order. All columns stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -97,7 +97,7 @@ class NonNegativePU:
         self.w2, self.b2 = rng.normal(0, (1 / self.hidden) ** 0.5, self.hidden), 0.0
         names = ("w1", "b1", "w2", "b2")
         m, v = {k: 0.0 for k in names}, {k: 0.0 for k in names}
-        steps = max(1, max(len(p), len(u)) // self.batch) * self.rounds
+        steps = max(2000, max(len(p), len(u)) // self.batch * self.rounds)
         for t in range(1, steps + 1):
             xp, xu = p[rng.integers(0, len(p), self.batch)], u[rng.integers(0, len(u), self.batch)]
             x = np.concatenate([xp, xu])
