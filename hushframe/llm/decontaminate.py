@@ -180,19 +180,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_share: float = 0.5) -> DataFrame:
     """docs without benchmark passages: hit words go out of the text, and documents hit in over ``max_share`` go.
 
-    A hit span is cut from its first word to the start of the next word outside it (to the end of the text if there is none). Rows without hits pass unchanged, null and empty texts too.
+    A hit span is cut from its first word to the start of the next word outside it (to the end of the text if there is
+    none). Rows without hits pass unchanged, null and empty texts too.
     """
     share = hit_words(F.col("_found.spans")) / F.col("_found.n_words")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([without_words(t, [(s["start"], s["end"]) for s in x]) for t, x in zip(texts, spans)])
+        # All rows come here, whatever condition stands around the call.
+        return pd.Series(
+            [without_words(t, [(s["start"], s["end"]) for s in x]) if len(x) else t for t, x in zip(texts, spans)], dtype=object
+        )
 
-    found = benchmark_hits(docs, benchmark, window).where(
-        (F.size("_found.spans") == 0) | (share <= F.lit(max_share))
-    )
-    text = F.when(F.size("_found.spans") > 0, cut("text", "_found.spans")).otherwise(F.col("text"))
-    return found.withColumn("text", text).drop("_found").select(docs.columns)
+    found = benchmark_hits(docs, benchmark, window).where((F.size("_found.spans") == 0) | (share <= F.lit(max_share)))
+    return found.withColumn("text", cut("text", "_found.spans")).drop("_found").select(docs.columns)
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
