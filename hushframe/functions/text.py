@@ -1,6 +1,6 @@
 """Classes of values, spans, redaction and terms, as column expressions. Texts are matched on their ASCII shadow."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions import rules
@@ -140,15 +140,12 @@ def redact(text: Column, spans: Column) -> Column:
     )
 
 
-def tokenise(text: Column, profile: str = "browser") -> Column:
-    """Each match of each shape, in the profile's order, becomes [CLASS_n], n counted by class from left to right."""
+def tokenised(df: DataFrame, column: str, profile: str = "browser") -> DataFrame:
+    """df with each match of each shape in the column, in the profile's order, as [CLASS_n], n counted by class from
+    left to right. One projection for each class, as each looks at what the one before it has written."""
     for cls, pattern in rules.FORMATS[profile]:
-        text = let(text, _numbering(cls, pattern))
-    return text
-
-
-def _numbering(cls: str, pattern: str):
-    return lambda text: _numbered(text, cls, pattern)
+        df = df.withColumn(column, _numbered(F.col(column), cls, pattern))
+    return df
 
 
 def _numbered(text: Column, cls: str, pattern: str) -> Column:

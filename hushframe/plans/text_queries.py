@@ -243,3 +243,9 @@ def generated_text_scores(spark, d):
 def generated_portals(spark, d):
     n = max(48, table(spark, d, "orders").count() // 100)
     return corpus.visual_pages(spark, n).groupBy("family", "split", "cls").agg(F.count("*").alias("n"))
+
+
+@query()
+def tokenise_goals(spark, d):
+    """All shapes of the browser profile as numbered tokens."""
+    return text.tokenised(table(spark, d, "conversations").select("conv_id", "turn", "text"), "text")
