@@ -149,8 +149,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_grams: int = GRAM
 def identify(docs: DataFrame, model: SlicedFilter) -> DataFrame:
     """Adds lang_pred and score (the predicted language's share of all corrected popcounts) to each row of docs.
 
-    Null texts and texts without a letter are ``und`` with score 0, and so is all if no language was learned; letters of which no filter knows an n-gram give
-    the most frequent language with score 0. Ties go to the language first in code-point order. All columns stay.
+    Null texts and texts without a letter are ``und`` with score 0, and so are all if no language was learned; letters
+    of which no filter knows an n-gram give the most frequent language with score 0. Ties go to the language first in code-point order. All columns stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

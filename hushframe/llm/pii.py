@@ -78,7 +78,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) by kind, then start."""
     out = [(0, a, b) for a, b in emails(text)] if "@" in text else []
     if re.search("[0-9]", text):
-        out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(1, *m.span()) for m in IP.finditer(text) if all(len(x := p.lstrip("0")) <= 3 and int(x or 0) <= 255 for p in m[0].split("."))]
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and luhn(digits):
@@ -92,13 +92,17 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     """Further candidates that overlap no base span and none before them."""
     out: list[tuple[int, int, int]] = []
     digits = re.search("[0-9]{3}", text) is not None
+    taken = bytearray(len(text))
+    for _, a, b in base:
+        taken[a:b] = b"\1" * (b - a)
     for kind, pattern, needs in LOOSE:
         if (kind in ("phone", "card", "ssn") and not digits) or (needs and needs not in text):
             continue
         for m in pattern.finditer(text):
             a, b = m.span()
-            if all(b <= x or y <= a for _, x, y in base) and all(b <= x or y <= a for _, x, y in out):
+            if taken.find(1, a, b) < 0:
                 out.append((KINDS.index(kind), a, b))
+                taken[a:b] = b"\1" * (b - a)
     return out
 
 
@@ -204,15 +208,18 @@ def _parts(key: str) -> list[str]:
     return [kind, *(f"{j}{c}" for j, c in enumerate(code))]
 
 
-def personal_data(docs: DataFrame) -> DataFrame:
+def personal_data(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Adds to each row of docs the base counts and digest, and spans: array of struct<kind, start, end>.
 
+    Of docs' columns all stay, or those named in ``keep``: what is not kept is not written to the shared folder.
+
     spans holds all base spans and the candidates that the classifier accepts, by kind and start, in code points.
     Votes of all rows are counted by pattern (a bounded set, whatever the input) and only these counts reach the
     driver; the texts are scanned once, into the shared folder. Null and empty texts have no spans; repeated rows
     vote each; docs without any span, or empty, give rows without spans, or none.
     """
-    found = staged(scan(docs), "pii-votes")
+    found = scan(docs)
+    found = staged(found.select(*(docs.columns if keep is None else keep), *found.columns[len(docs.columns) :]), "pii-votes")
     counted = found.select(F.explode("found").alias("x")).groupBy("x.key", "x.base").count().collect()
     weights: dict[str, int] = {}
     for r in counted:
@@ -234,5 +241,5 @@ def personal_data_of_documents(docs: DataFrame) -> DataFrame:
     text = F.array_join(
         F.transform("spans", lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ","
     )
-    out = personal_data(docs.select("doc_id", "text")).withColumn("spans", text)
+    out = personal_data(docs.select("doc_id", "text"), keep=["doc_id"]).withColumn("spans", text)
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
