@@ -46,16 +46,20 @@ def _signature(line: Column, length: Column, i: int, start: Column, size: Column
     return F.xxhash64(length, F.lit(i), F.substring(line, start, F.least(size, F.lit(SIGNED))))
 
 
-#: Common beginnings and ends are cut off in powers of two from the first of these down to the last.
+#: Common beginnings and ends are cut off in powers of two from the first of these down to the last, each at most once:
+#: together they reach over lines shorter than twice the first. Longer lines begin with the powers of LONG_CUTS, which
+#: reach over any string.
 CUTS = tuple(1 << x for x in range(12, 2, -1))
+LONG_CUTS = tuple(1 << x for x in range(30, 12, -1)) + CUTS
 
 
 def _trimmed(a: Column, b: Column) -> Column:
-    """struct<ahead, behind>: code points of a common beginning and end, all of them but up to 7 (lines over 16,000
-    code points: but more)."""
-    steps, n_a, n_b = F.array(*map(F.lit, CUTS)), F.length(a), F.length(b)
+    """struct<ahead, behind>: code points of a common beginning and end, all of them but up to 7."""
+    n_a, n_b = F.length(a), F.length(b)
+    short, long = (F.array(*map(F.lit, cuts)) for cuts in (CUTS, LONG_CUTS))
 
     def common(most: Column, same) -> Column:
+        steps = F.when(most < 2 * CUTS[0], short).otherwise(long)
         return F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= most) & same(p, s), p + s).otherwise(p))
 
     ahead = common(F.least(n_a, n_b), lambda p, s: F.substring(a, p + 1, s) == F.substring(b, p + 1, s))

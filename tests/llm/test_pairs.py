@@ -220,6 +220,34 @@ def test_banded_distance_and_screen(spark):
             assert r.m or want > k
 
 
+def test_edits_in_the_middle_of_long_lines_link(spark):
+    rng = random.Random(11)
+    line = lambda n: "".join(rng.choice("abcdefgh ijé") for _ in range(n))
+    change = lambda s, *places: "".join("X" if k in places else c for k, c in enumerate(s))
+    ten, nine, seventeen, twenty, most = map(line, (10000, 9000, 17000, 20000, 150000))
+    pairs = [(ten, change(ten, 5000), 1), (twenty, change(twenty, 10000), 1), (seventeen, change(seventeen, 8500), 1)]
+    pairs += [(nine, change(nine, 8300, 8900), 2), (twenty, twenty[:9000] + twenty[9001:11000] + "X" + twenty[11000:], 2)]
+    pairs += [(twenty, change(twenty, 9000, 10000, 11000), 3), (most, change(most, 70000, 70100), 2)]
+    df = spark.createDataFrame(pairs, "a string, b string, want int")
+    may, apart = (f(F.col("a"), F.col("b"), 2) for f in (line_dedup.may_be_within, line_dedup.edit_distance_within))
+    for r in df.select("want", may.alias("may"), apart.alias("d")).collect():
+        assert min(r.d, 3) == r.want and (r.may or r.want > 2)
+    lines = df.where("length(a) < 100000").selectExpr("inline(array(struct(a AS line), struct(b AS line)))").distinct()
+    lines = lines.withColumn("node", F.xxhash64("line"))
+    node = {r.line: r.node for r in lines.collect()}
+    want = {tuple(sorted((node[a], node[b]))) for a, b, d in pairs if d <= 2 and len(a) < 100000}
+    got = {(r.a, r.b) for r in line_dedup.edit_links(lines).collect()}
+    assert want <= got and all(levenshtein_ends(*(k for k, v in node.items() if v in x)) <= 2 for x in got)
+
+
+def levenshtein_ends(a, b):
+    """The distance of what is left once the whole common beginning and end are cut off."""
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[k:], b[k:]
+    k = next((i for i, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y), min(len(a), len(b)))
+    return levenshtein(a[: len(a) - k], b[: len(b) - k])
+
+
 def test_line_links_and_duplicates(spark):
     rng = random.Random(8)
     line = lambda n: "".join(rng.choice("abcdefgh ij") for _ in range(n))
