@@ -16,8 +16,11 @@ EDITS = 2
 SIGNED = 32
 #: Letters whose counts, modulo 4, make up the sketch of a line; the two bits above them tell how it is looked up.
 LETTERS = "entairsohdlugwb"
-#: Code points of a line from which on it can be a duplicate. Shorter ones (headings, "Yes.") recur by chance and stay.
-LEAST = 25
+#: Code points of a line from which on it can be a duplicate: every line that is not blank.
+LEAST = 1
+#: Code points of the longer of two lines from which on edits link them: among shorter ones ("Yes.", "Yet.") two edits
+#: make other words. Equal lines are duplicates at any length.
+LINKED = 25
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -196,11 +199,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
         F.xxhash64("doc_id", "text").alias("doc"),
         F.posexplode(F.split("text", "\n", -1)).alias("at", "line"),
     )
-    return each.where(F.length("line") >= LEAST).withColumn("node", F.xxhash64("line"))
+    return each.where((F.length("line") >= LEAST) & F.col("line").rlike(r"\S")).withColumn("node", F.xxhash64("line"))
 
 
 def edit_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Links (a < b) between the nodes of lines (node, line) that are within ``edits`` edits.
+    """Links (a < b) between the nodes of lines (node, line) that are within ``edits`` edits, the longer of LINKED or more.
 
     Each distinct line is indexed under its length and each of its edits + 1 segments, of which at least one stands
     unchanged in any line within reach, and looks up the substrings where such a segment can be; both are hashes. Where
@@ -208,7 +211,7 @@ def edit_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     do not become all their pairs; what is left is verified on the lines. The lines cross the network once, dealt out
     by node: the lookups and both sides of the verification read the same shuffle.
     """
-    lines = lines.select("node", "line", sketch(F.col("line")).alias("sketch"))
+    lines = lines.where(F.length("line") >= LINKED - edits).select("node", "line", sketch(F.col("line")).alias("sketch"))
     distinct = lines.groupBy("node").agg(F.max(F.col("line")).alias("line"), F.max("sketch").alias("sketch"))
     n, index, lookups = F.col("n"), [], []
     for i in range(edits + 1):
@@ -221,7 +224,8 @@ def edit_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         lookups.append(F.struct(how.alias("sb"), sig.alias("sig")))
     sized = distinct.withColumn("n", F.length("line"))
     left = sized.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.explode(F.array(*index)).alias("sig"))
-    right = sized.select(F.col("node").alias("b"), F.inline(F.array(*lookups)))
+    # The line that looks up is the longer one.
+    right = sized.where(n >= LINKED).select(F.col("node").alias("b"), F.inline(F.array(*lookups)))
     how = F.shiftrightunsigned("sb", 30)
     once = F.when(how == 1, F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
     near = sketches_apart(F.col("sa"), F.col("sb")) <= 2 * edits - F.greatest(how - 1, F.lit(0))
@@ -238,8 +242,8 @@ def edit_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 def duplicate_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """For each document with a line to remove, or with links: doc, removed, n_links, kept_in.
 
-    Lines of LEAST code points or more are in one class if they are equal or linked, over any number of links, by at
-    most ``edits`` edits. Of a class the first line by (doc_id, place) stays, all others are to be removed. removed
+    Lines that are not blank are in one class if they are equal or linked, over any number of links, by at most
+    ``edits`` edits (see ``edit_links``). Of a class the first line by (doc_id, place) stays, all others are to be removed. removed
     holds their places, kept_in the doc_ids whose lines stay for them, n_links the links of the document's lines to
     other lines. Rows with the same doc_id and text are one document (null doc_ids come last); null and empty texts
     have no lines. Distinct lines are known by a 64-bit hash.

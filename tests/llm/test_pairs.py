@@ -240,6 +240,15 @@ def test_edits_in_the_middle_of_long_lines_link(spark):
     assert want <= got and all(levenshtein_ends(*(k for k, v in node.items() if v in x)) <= 2 for x in got)
 
 
+def test_short_lines_are_duplicates_where_equal(spark):
+    least = "x2345678901234567890 end."  # 25 code points
+    rows = [(1, "Yes.\n \nYes.\nYet."), (2, "Yes.\n \nNo."), (3, least), (4, least[1:]), (5, least[3:]), (6, least[2:])]
+    out = {r.doc_id: (r.n_removed, r.n_links, r.kept_in) for r in line_dedup.line_duplicates_of_documents(docs(spark, rows)).collect()}
+    assert out == {1: (1, 0, [1]), 2: (1, 0, [1]), 3: (0, 2, []), 4: (1, 1, [3]), 5: (0, 0, []), 6: (1, 1, [3])}
+    kept = {r.doc_id: r.text for r in line_dedup.without_duplicate_lines(docs(spark, rows)).collect()}
+    assert kept == {1: "Yes.\n \nYet.", 2: " \nNo.", 3: least, 5: least[3:]}
+
+
 def levenshtein_ends(a, b):
     """The distance of what is left once the whole common beginning and end are cut off."""
     k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
