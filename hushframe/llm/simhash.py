@@ -22,6 +22,9 @@ SHARD = 2048
 FRONTIER = 1 << 20
 #: Pairs of leaves that a node pair is replaced by without going further down.
 LEAF_PAIRS = 16
+#: Texts, and shingles of all of them, of a block of candidates that one task compares with another block.
+BLOCK_TEXTS = 2048
+BLOCK_SHINGLES = 1 << 21
 
 
 def fold_ascii(text: str | None) -> list[bytes]:
@@ -255,12 +258,103 @@ def simhash_classes(docs: DataFrame, width: int = 3, budget: int = 2, seed: int
     return marked.join(classes, "fp").select("doc_id", "fp", hexed.alias("fingerprint"), "component_id")
 
 
+def parities(grams: np.ndarray) -> tuple[int, int]:
+    """How many bits, and for each whether an odd number of the set's hashes falls to it.
+
+    Two sets' bits differ in no more places than there are shingles in one set only.
+    """
+    width = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    odd = np.bincount((grams.view(np.uint64) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return width, int.from_bytes(np.packbits(odd.astype(bool), bitorder="little").tobytes(), "little")
+
+
+def folded(width: int, bits: int, to: int) -> int:
+    """The parities in fewer bits."""
+    while width > to:
+        width //= 2
+        bits = (bits >> width) ^ (bits & ((1 << width) - 1))
+    return bits
+
+
+def remaining_links(group: pd.DataFrame, similarity: float, budget: int) -> list[tuple[int, int]]:
+    """Links between the classes (cls) of the rows of two blocks, or of one: node, block, n, s (sorted hashes), fps.
+
+    Each pair of the blocks' texts within ``budget`` bits in one of the fingerprints is compared, unless links already
+    hold the two together or the sizes or parities of their sets leave no room for the similarity.
+    """
+    group = group.sort_values(["block", "node"], ignore_index=True)
+    nodes, sets, block = group["node"].to_numpy(), group["s"].to_list(), group["block"].to_numpy()
+    n = np.array([len(x) for x in sets], np.int64)
+    prints = [np.array(x, np.int64).view(np.uint64) for x in zip(*group["fps"])]
+    _, label = np.unique(group["cls"].to_numpy(), return_inverse=True)
+    # Members of each class, so that classes meet by whole arrays.
+    members = {c: np.flatnonzero(label == c) for c in range(label.max() + 1)}
+    bits: dict[int, tuple[int, int]] = {}
+    single, out = block[0] == block[-1], []
+    first = 0 if single else int(np.searchsorted(block, block[-1]))
+    for i in range(len(nodes) if single else first):
+        begin = i + 1 if single else first
+        near = np.zeros(len(nodes) - begin, bool)
+        for p in prints:
+            near |= np.bitwise_count(p[begin:] ^ p[i]) <= budget
+        near &= (label[begin:] != label[i]) & (np.minimum(n[begin:], n[i]) >= similarity * np.maximum(n[begin:], n[i]))
+        for j in (np.flatnonzero(near) + begin).tolist():
+            if label[i] == label[j] or not n[i]:
+                continue
+            for x in (i, j):
+                if x not in bits:
+                    bits[x] = parities(sets[x])
+            (wi, bi), (wj, bj) = bits[i], bits[j]
+            if wi != wj:
+                bi, bj = folded(wi, bi, wj), folded(wj, bj, wi)
+            # shared >= similarity * (both - shared), and both - 2 shared >= the differing bits.
+            both = int(n[i] + n[j])
+            if both - (bi ^ bj).bit_count() < 2 * similarity / (1 + similarity) * both - 1e-6:
+                continue
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if shared / (both - shared) >= similarity:
+                out.append((int(nodes[i]), int(nodes[j])))
+                old, new = sorted((int(label[i]), int(label[j])), key=lambda c: len(members[c]))
+                label[members[old]] = new
+                members[new] = np.concatenate([members[new], members.pop(old)])
+    return out
+
+
+def links_left(met: DataFrame, sets: DataFrame, similarity: float, budget: int) -> DataFrame:
+    """Links between classes of verified links (met: a, b, ok) that candidates left out of met would make.
+
+    All pairs of texts within the budget lie in one component of met, verified or not. A component is settled if its
+    verified links hold it together or all its pairs are in met; each other one is dealt out in blocks, and each pair
+    of blocks is compared in a task of its own. sets has node, s and fps.
+    """
+    within = components(met.select("a", "b"), "near-candidates")
+    classes = components(met.where("ok").select("a", "b"), "near-classes").withColumnRenamed("root", "cls")
+    members = within.join(classes, "node", "left").withColumn("cls", F.coalesce("cls", "node"))
+    members = staged(members.join(sets.select("node", F.size("s").alias("n")), "node"), "near-members")
+    tested = met.join(within, F.col("a") == F.col("node")).groupBy("root").agg(F.count("*").alias("tested"))
+    size = members.groupBy("root").agg(
+        F.count("*").alias("m"), F.sum("n").alias("shingles"), (F.min("cls") != F.max("cls")).alias("parted")
+    )
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    unsettled = size.join(tested, "root").where("parted AND tested < m * (m - 1) / 2").select("root", blocks.alias("g"))
+    rows = members.join(unsettled, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("g")))
+    rows = rows.select("root", "node", "cls", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1)).alias("x"))
+    rows = rows.select("root", F.least("block", "x").alias("lo"), F.greatest("block", "x").alias("hi"), "node", "cls", "block")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        links = np.array(remaining_links(group, similarity, budget), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
+
+    return rows.join(sets, "node").groupBy("root", "lo", "hi").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicate_links(docs: DataFrame, width: int = 5, similarity: float = 0.8, budget: int = 8, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
     """Links (a, b) between the nodes (hashes) of different texts whose ``width``-word shingle sets are that similar.
 
     Similarity is the Jaccard index. Candidates come from fingerprints of word pairs, which an edit disturbs less than
-    it does longer shingles: two independent ones, each joined within ``budget`` bits; of the candidates a forest and
-    the links of each group's best linked member are verified on the texts' shingles. At the similarity 0.8 a pair's
+    it does longer shingles: two independent ones, each joined within ``budget`` bits. Of the candidates a forest and
+    the links of each group's best linked member are verified on the texts' shingles first, and then all others whose
+    texts these links leave apart; links that join what others hold together don't come back. At the similarity 0.8 a pair's
     fingerprints differ in about 6 of 64 bits, so that a few in a hundred such pairs are in neither join.
     """
     texts = docs.select(F.xxhash64("text").alias("node"), "text")
@@ -289,13 +383,16 @@ def near_duplicate_links(docs: DataFrame, width: int = 5, similarity: float = 0.
 
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = texts.join(needed, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
-    sets = staged(sets.select("node", shingle_set("text").alias("s")), "near-shingles")
+    fps = marked.select("node", F.array(*(f"fp{i}" for i in range(len(seeds)))).alias("fps"))
+    sets = staged(sets.select("node", shingle_set("text").alias("s")).join(fps, "node"), "near-shingles")
     full = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b"
     )
     shared = F.size(F.array_intersect("sa", "sb"))
     ratio = F.try_divide(shared, F.size("sa") + F.size("sb") - shared)
-    return staged(full.where(ratio >= similarity).select("a", "b"), "near-verified")
+    met = staged(full.select("a", "b", F.coalesce(ratio >= similarity, F.lit(False)).alias("ok")), "near-verified")
+    left = links_left(met, sets, similarity, budget)
+    return staged(met.where("ok").select("a", "b").union(left), "near-links-all")
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -117,6 +117,45 @@ def test_near_duplicates_leave_one_of_each_group(spark):
     assert kept == set(range(30)) | {501, 503}
 
 
+def families_without_originals(rng, families=12, pairs=9):
+    """Texts of two edits each: two of a pair share one, so that they are at 0.81, and all others at 0.76 or less."""
+    rows = []
+    for f in range(families):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(150)]
+        places = rng.sample(range(4, 144, 5), 3 * pairs)
+        for p in range(pairs):
+            at = places[3 * p : 3 * p + 3]
+            for k in (1, 2):
+                w = list(words)
+                w[at[0]], w[at[k]] = f"s{f}x{p}", f"o{f}x{p}x{k}"
+                rows.append((1000 * f + 10 * p + k, " ".join(w)))
+    rng.shuffle(rows)
+    return rows
+
+
+def brute_classes(rows):
+    """Classes of candidates within 8 bits in one of the fingerprints and of a Jaccard index of 0.8 or more."""
+    grams = [set(simhash.shingles(simhash.fold_ascii(t), 5)) for _, t in rows]
+    prints = [[simhash.fingerprint_of(t, 2, s, distinct=True) for s in (42, 43)] for _, t in rows]
+    links = []
+    for i in range(len(rows)):
+        for j in range(i):
+            if any((x ^ y).bit_count() <= 8 for x, y in zip(prints[i], prints[j])):
+                if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                    links.append((rows[i][0], rows[j][0]))
+    return roots([i for i, _ in rows], links)
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK_TEXTS, 7])
+def test_near_duplicates_in_groups_whose_original_is_missing(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", block)
+    rows = families_without_originals(random.Random(12))
+    want = brute_classes(rows)
+    assert len(set(want.values())) < 0.6 * len(rows)
+    kept = {r.doc_id for r in simhash.without_near_duplicates(docs(spark, rows)).collect()}
+    assert kept == set(want.values())
+
+
 def test_mix(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(["w"] * rng.randint(0, 60)), f"s{i % 5}" if i % 7 else None) for i in range(600)]
