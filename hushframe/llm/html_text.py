@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 WINDOW = 3
 SURGE = 60
 
-# Elements of HTML.
-UNSEEN = ("script", "style", "noscript", "template", "svg", "math", "textarea", "select", "iframe", "object", "head", "title", "canvas", "audio", "video")
+# Elements of HTML. A head holds no text but in these, and its end tag may be left out.
+UNSEEN = ("script", "style", "noscript", "template", "svg", "textarea", "select", "iframe", "object", "title", "canvas", "audio", "video")
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = frozenset("nav aside footer form menu dialog button fieldset".split())
@@ -31,7 +31,7 @@ AROUND = re.compile(
 HOLDS = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?:$|[\s_-])", re.I)
 
 _UNSEEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(UNSEEN) + r")(?=[\s>/])[^>]*+>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(UNSEEN) + r")(?=[\s>/])[^>]*+(?:(?<=/)>|>.*?(?:</\1\s*+>|\Z))|<[!?][^>]*+>",
     re.I | re.S,
 )
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>""")
@@ -46,7 +46,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """The blocks of a page without the markup around it: text, characters outside links, whether an article holds it.
 
     Elements for navigation, forms, asides and footers, those whose class or id names such a thing, and headers
-    outside an article are stripped with all they hold. One that is never closed is read as if it held nothing.
+    outside an article are stripped with all they hold. One that is never closed is read as if it held nothing. A
+    name does not strip what holds an article or, on a page without one outside it, most of the page's text.
     """
     page = _UNSEEN.sub(" ", page)
     pieces: list[tuple[int, int, str, str, str]] = []  # text before, then the tag: kind 1 opens, -1 closes
@@ -70,6 +71,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         elif waiting.get(name):
             ends[waiting[name].pop()] = i
 
+    # Characters before each piece's tag, and articles opened before it.
+    chars, articles = [0], [0]
+    for start, end, close, name, _ in pieces:
+        chars.append(chars[-1] + len(page[start:end].strip()))
+        articles.append(articles[-1] + (name in ("article", "main") and not close))
+
+    def wraps(i: int) -> bool:
+        inside = articles[ends[i]] - articles[i + 1]
+        return inside > 0 or (not articles[-1] and 2 * (chars[ends[i] + 1] - chars[i + 1]) > chars[-1])
+
     out: list[tuple[str, int, bool]] = []
     text: list[str] = []
     plain = 0
@@ -100,7 +111,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if name and not close and i in ends:
                 named = _names(attributes)
                 holds = name in ("article", "main") or (name in ("div", "section", "td") and bool(HOLDS.search(named)))
-                around = bool(named) and name not in ("article", "main", "body", "html") and bool(AROUND.search(named))
+                around = bool(named) and name not in ("article", "main", "body", "html") and bool(AROUND.search(named)) and not wraps(i)
                 if name in ASIDE or around or (name == "header" and i > held_until):
                     skip_until = ends[i]
                 elif holds:

@@ -179,3 +179,14 @@ def test_pages(spark):
     assert got[2].text == got[3].text == "" and got[4].text == "no markup at all" and got[7].n_chars == 100000
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert html_text.text_of_pages(df.limit(0)).count() == 0
+
+
+def test_articles_are_not_stripped_with_what_is_around_them():
+    body = "A long paragraph of text. " * 8
+    want = body.strip()
+    assert html_text.main_text(f"<html><head><meta charset=x><title>t</title><body><p>{body}</p></body></html>") == want
+    assert html_text.main_text(f"<p>{body}</p><svg width='1'/><p>{body}</p>") == f"{want}\n\n{want}"
+    for names in ("site has-sidebar", "layout no-sidebar", "post hentry tag-politics"):
+        assert html_text.main_text(f'<div class="{names}"><p>{body}</p></div>') == want
+        assert html_text.main_text(f'<div class="{names}"><article><p>{body}</p></article></div>') == want
+    assert html_text.main_text(f"<article><p>{body}<math><mi>x</mi></math></p></article>") == f"{want} x"
