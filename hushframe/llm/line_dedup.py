@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.shared import components, staged
+from hushframe.llm.shared import Bitmap, components, discard, joined, staged
 
 #: Edits (insertions, deletions, substitutions of a code point) within which lines link.
 EDITS = 2
@@ -187,96 +187,113 @@ def sketches_apart(a: Column, b: Column) -> Column:
     return out
 
 
-def _how(less: int, shift: int) -> int:
-    """0: equal length, moved; 1: equal length and place, where both lines find each other; 2, 3: 1, 2 or more longer."""
-    return min(less + 1, 3) if less else int(shift == 0)
-
-
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc (a hash of doc_id and text), at (0-based), line and node (a hash of the line) of each line that can link."""
+    """doc (a hash of doc_id and text), doc_id, at (0-based), line, and two hashes of it, node and check, of each line
+    that is not blank."""
     each = docs.where(F.col("text").isNotNull()).select(
         F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"),
         F.xxhash64("doc_id", "text").alias("doc"),
         F.posexplode(F.split("text", "\n", -1)).alias("at", "line"),
     )
-    return each.where((F.length("line") >= LEAST) & F.col("line").rlike(r"\S")).withColumn("node", F.xxhash64("line"))
+    each = each.where((F.length("line") >= LEAST) & F.col("line").rlike(r"\S"))
+    return each.withColumn("node", F.xxhash64("line")).withColumn("check", F.xxhash64(F.lit(LEAST), "line"))
 
 
-def edit_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+def edit_links(lines: DataFrame, edits: int = EDITS, repeated: DataFrame | None = None) -> DataFrame:
     """Links (a < b) between the nodes of lines (node, line) that are within ``edits`` edits, the longer of LINKED or more.
 
     Each distinct line is indexed under its length and each of its edits + 1 segments, of which at least one stands
-    unchanged in any line within reach, and looks up the substrings where such a segment can be; both are hashes. Where
-    they meet, letter counts screen the pair before it is formed, so that versions of a line that share whole segments
-    do not become all their pairs; what is left is verified on the lines. The lines cross the network once, dealt out
-    by node: the lookups and both sides of the verification read the same shuffle.
+    unchanged in any line within reach, and looks up the substrings where such a segment can be; both are hashes. What
+    it would look up in place, under its own length, it is indexed under, so that the index also meets itself. Where
+    hashes meet, letter counts screen the pair before it is formed, so that versions of a line that share whole
+    segments do not become all their pairs; what is left is verified on the lines.
+
+    Texts hardly cross the network. Lines that stand in one place only are read where they lie; those that
+    ``repeated`` (node; found in lines if not given) holds are brought together first. Of the candidates' texts, too,
+    only what a bitmap of their nodes lets through is sent.
     """
-    lines = lines.where(F.length("line") >= LINKED - edits).select("node", "line", sketch(F.col("line")).alias("sketch"))
-    distinct = lines.groupBy("node").agg(F.max(F.col("line")).alias("line"), F.max("sketch").alias("sketch"))
-    n, index, lookups = F.col("n"), [], []
+    if repeated is None:
+        repeated = staged(lines.groupBy("node").count().where("count > 1").select("node"), "lines-repeated")
+    lines = lines.where(F.length("line") >= LINKED - edits).select("node", "line")
+    often = Bitmap(repeated.select("node"), "lines-repeated-bits").marked(lines, "node", "often")
+    distinct = often.where("NOT often").select("node", "line").union(often.where("often").select("node", "line").distinct())
+    n = F.col("n")
+    sized = distinct.withColumn("n", F.length("line")).withColumn("sketch", sketch(F.col("line")))
+    index, lookups = [], []
     for i in range(edits + 1):
         start, size = _segment(n, i, edits)
         index.append(_signature(F.col("line"), n, i, start, size))
     for less, i, shift in probes(edits):
         start, size = _segment(n - less, i, edits)
         sig = _signature(F.col("line"), n - less, i, start + shift, size)
-        how = F.col("sketch").bitwiseOR(F.shiftleft(F.lit(_how(less, shift)), 30))
-        lookups.append(F.struct(how.alias("sb"), sig.alias("sig")))
-    sized = distinct.withColumn("n", F.length("line"))
-    left = sized.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.explode(F.array(*index)).alias("sig"))
-    # The line that looks up is the longer one.
-    right = sized.where(n >= LINKED).select(F.col("node").alias("b"), F.inline(F.array(*lookups)))
-    how = F.shiftrightunsigned("sb", 30)
-    once = F.when(how == 1, F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
-    near = sketches_apart(F.col("sa"), F.col("sb")) <= 2 * edits - F.greatest(how - 1, F.lit(0))
-    same = (left["sig"] == right["sig"]) & once & near
-    met = left.join(right, same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    # With its sketch, though that has been looked at: the same columns make it the same shuffle.
-    named = lambda n: distinct.select(F.col("node").alias(n), F.col("line").alias(f"l{n}"), F.col("sketch").alias(f"s{n}"))
-    full = met.join(named("a"), "a").join(named("b"), "b")
-    near = (sketches_apart(F.col("sa"), F.col("sb")) <= 2 * edits) & may_be_within(F.col("la"), F.col("lb"), edits)
+        if less or shift:
+            lookups.append(F.struct(F.col("sketch").bitwiseOR(F.shiftleft(F.lit(min(less, 3)), 30)).alias("s"), sig.alias("sig")))
+    index = sized.select("node", F.col("sketch").alias("s"), F.explode(F.array(*index)).alias("sig"))
+    # The line that looks up is the longer one; less (3: 3 or more) stands above its sketch.
+    lookups = sized.where(n >= LINKED).select("node", F.inline(F.array(*lookups)))
+    side = lambda df, x: df.select(F.col("node").alias(x), F.col("s").alias(f"s{x}"), F.col("sig"))
+    apart, less = sketches_apart(F.col("sa"), F.col("sb")), F.shiftrightunsigned("sb", 30)
+    left, right = side(index, "a"), side(index, "b")
+    met = left.join(right, (left["sig"] == right["sig"]) & (F.col("a") < F.col("b")) & (apart <= 2 * edits)).select("a", "b")
+    right = side(lookups, "b")
+    near = (left["sig"] == right["sig"]) & (F.col("a") != F.col("b")) & (apart <= 2 * edits - less)
+    met = met.union(left.join(right, near).select(F.least("a", "b"), F.greatest("a", "b")))
+    met = staged(met.distinct(), "lines-met")
+
+    ends = met.select(F.col("a").alias("node")).union(met.select("b")).groupBy("node").agg(F.count("*").alias("n"))
+    ends = staged(ends, "lines-ends")
+    texts = Bitmap(ends.select("node"), "lines-ends-bits").marked(lines, "node", "there").where("there")
+    texts = staged(texts.select("node", "line").distinct().join(ends, "node"), "lines-texts")
+    text = lambda x: texts.select(F.col("node").alias(x), F.col("line").alias(f"l{x}"), "n")
+    full = joined(joined(met, text("a"), ["a"], "b"), text("b"), ["b"], "a")
+    near = (F.greatest(F.length("la"), F.length("lb")) >= LINKED) & may_be_within(F.col("la"), F.col("lb"), edits)
     near &= edit_distance_within(F.col("la"), F.col("lb"), edits) <= edits
-    return staged(full.where(near).select("a", "b"), "lines-links")
+    links = staged(full.where(near).select("a", "b"), "lines-links")
+    discard(met, ends, texts)
+    return links
 
 
 def duplicate_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """For each document with a line to remove, or with links: doc, removed, n_links, kept_in.
 
     Lines that are not blank are in one class if they are equal or linked, over any number of links, by at most
-    ``edits`` edits (see ``edit_links``). Of a class the first line by (doc_id, place) stays, all others are to be removed. removed
-    holds their places, kept_in the doc_ids whose lines stay for them, n_links the links of the document's lines to
-    other lines. Rows with the same doc_id and text are one document (null doc_ids come last); null and empty texts
-    have no lines. Distinct lines are known by a 64-bit hash.
+    ``edits`` edits (see ``edit_links``). Of a class the first line by (doc_id, place) stays, all others are to be
+    removed. removed holds their places in order, kept_in the doc_ids whose lines stay for them, n_links the links of
+    the document's lines to other lines. Rows with the same doc_id and text are one document (null doc_ids come last);
+    null and empty texts have no lines. Lines are equal if two 64-bit hashes of theirs are.
     """
-    # Read again where it is needed: that is cheaper than a copy in the shared folder.
-    occurrences = lines_of(docs).select("doc", "doc_id", "at", "node")
-    links = edit_links(lines_of(docs).select("node", "line"), edits)
+    lines = lines_of(docs)
+    repeated = lines.groupBy("node", "check").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = staged(repeated.groupBy("node").agg(F.sum("n").alias("n")), "lines-repeated")
+    links = edit_links(lines.select("node", "line"), edits, repeated)
     roots = components(links, "lines-components")
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
-    linked = staged(roots.join(ends, "node"), "lines-roots")
-    often = occurrences.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
-    nodes = often.join(linked, "node", "left").where("n > 1 OR root IS NOT NULL")
-    nodes = nodes.withColumn("root", F.coalesce("root", "node"))
-    nodes = staged(nodes.select("node", "root", "links", "first_doc"), "lines-nodes")
-    firsts = nodes.groupBy("root").agg(F.min("first_doc").alias("class_doc"))
-    marked = staged(
-        occurrences.join(nodes.select("node", "root", "links"), "node").join(firsts, "root"), "lines-marked"
+    nodes = repeated.join(roots.join(ends, "node"), "node", "full")
+    nodes = staged(nodes.select("node", "root", "links", F.coalesce("n", F.lit(1)).alias("n")), "lines-nodes")
+    places = Bitmap(nodes.select("node"), "lines-nodes-bits").marked(lines.drop("line"), "node", "there").where("there")
+    places = joined(places.drop("there"), nodes, ["node"], "doc")
+    # Linked lines are known by their class, others by both hashes.
+    places = places.select(
+        "doc", "doc_id", "at",
+        F.coalesce("root", "node").alias("root"),
+        F.when(F.col("root").isNull(), F.col("check")).otherwise(F.lit(0)).alias("check"),
+        F.coalesce("links", F.lit(0)).alias("links"),
+    )
+    places = staged(places, "lines-places")
+    classes = places.groupBy("root", "check").agg(F.min(F.struct("doc_id", "at", "doc")).alias("first"), F.count("*").alias("n"))
+    classes = staged(classes, "lines-classes")
+    stays = F.expr("doc = first.doc AND at = first.at")
+    found = joined(places, classes, ["root", "check"], "doc").select(
+        "doc", F.struct("at", "links", F.col("first.doc_id").alias("kept_in"), stays.alias("stays")).alias("x")
     )
-    kept = (
-        marked.where("doc_id = class_doc")
-        .groupBy("root")
-        .agg(F.min(F.struct("at", "doc")).alias("first"))
-        .select("root", F.col("first.at").alias("kept_at"), F.col("first.doc").alias("kept_doc"))
-    )
-    stays = F.expr("doc = kept_doc AND at = kept_at")
-    return (
-        marked.join(kept, "root")
-        .groupBy("doc")
-        .agg(
-            F.array_sort(F.collect_set(F.when(~stays, F.col("at")))).alias("removed"),
-            F.coalesce(F.sum("links"), F.lit(0)).alias("n_links"),
-            F.array_sort(F.collect_set(F.when(~stays, F.col("class_doc")))).alias("kept_in"),
-        )
+    # Repeated rows bring the same places again.
+    found = found.groupBy("doc").agg(F.array_sort(F.collect_set("x")).alias("all"))
+    gone = F.filter("all", lambda x: ~x["stays"])
+    return found.select(
+        "doc",
+        F.transform(gone, lambda x: x["at"]).alias("removed"),
+        F.aggregate("all", F.lit(0).cast("bigint"), lambda s, x: s + x["links"]).alias("n_links"),
+        F.array_sort(F.array_distinct(F.transform(gone, lambda x: x["kept_in"]))).alias("kept_in"),
     )
 
 
@@ -297,12 +314,27 @@ def line_duplicates_of_documents(docs: DataFrame, edits: int = EDITS) -> DataFra
     )
 
 
+def _without(lines: Column, removed: Column) -> Column:
+    """The array without the places (0-based, in order): what stands between each two, put together."""
+    ends = F.concat(removed, F.array(F.size(lines)))
+    since = lambda i: F.when(i > 0, F.get(removed, F.greatest(i - 1, F.lit(0))) + 1).otherwise(0)
+    return F.flatten(F.transform(ends, lambda end, i: F.slice(lines, since(i) + 1, end - since(i))))
+
+
 def without_duplicate_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """docs without the lines to remove, and without rows of which only white space is left; docs' columns."""
-    found = duplicate_lines(docs, edits).where(F.size("removed") > 0).select(F.col("doc").alias("_doc"), "removed")
-    own = docs.withColumn("_doc", F.xxhash64("doc_id", "text")).join(found, "_doc", "left")
-    kept = F.array_join(
-        F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("removed", i)), "\n"
-    )
-    own = own.withColumn("text", F.when(F.col("removed").isNotNull(), kept).otherwise(F.col("text")))
-    return own.where(F.col("removed").isNull() | F.col("text").rlike(r"\S")).select(docs.columns)
+    """docs without the lines to remove, and without rows of which only white space is left; docs' columns.
+
+    Rows without a line to remove pass unchanged, null and empty texts too. Columns of any name stay. Only rows of
+    documents that a bitmap lets through are shuffled.
+    """
+    found = duplicate_lines(docs, edits).where(F.size("removed") > 0).select("doc", "removed")
+    found = staged(found, "lines-removed")
+    own = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("doc"))
+    own = Bitmap(found.select("doc"), "lines-removed-bits").marked(own, "doc", "there")
+    cut = own.where("there").join(found, "doc", "left")
+    lines = F.split(F.col("row.text"), "\n", -1)
+    kept = F.transform(F.array(F.struct(lines.alias("lines"), "removed")), lambda x: F.array_join(_without(x["lines"], x["removed"]), "\n"))
+    cut = cut.withColumn("kept", F.when(F.col("removed").isNotNull(), kept[0]))
+    cut = cut.where(F.col("removed").isNull() | F.col("kept").rlike(r"\S"))
+    row = F.when(F.col("removed").isNotNull(), F.col("row").withField("text", F.col("kept"))).otherwise(F.col("row"))
+    return own.where("NOT there").select("row.*").union(cut.select(row.alias("row")).select("row.*"))
