@@ -14,8 +14,8 @@ from hushframe.llm.shared import Bitmap, components, discard, joined, staged
 EDITS = 2
 #: Code points of a segment that its signature looks at: lines that agree in a segment agree in its beginning.
 SIGNED = 32
-#: Letters whose counts, modulo 4, make up the sketch of a line; the two bits above them tell how it is looked up.
-LETTERS = "entairsohdlugwb"
+#: Letters, of the less frequent ones (they cost least to count), whose counts, modulo 8, make up the sketch of a line; the bits from 30 on tell how it is looked up.
+LETTERS = "dlugwbcmkp"
 #: Code points of a line from which on it can be a duplicate: every line that is not blank.
 LEAST = 1
 #: Code points of the longer of two lines from which on edits link them: among shorter ones ("Yes.", "Yet.") two edits
@@ -165,11 +165,11 @@ def _banded(x: Column, k: int) -> Column:
 
 
 def sketch(line: Column) -> Column:
-    """Counts of LETTERS, two bits each."""
+    """Counts of LETTERS, three bits each."""
     out = F.lit(0)
     for k, letter in enumerate(LETTERS):
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter)))
-        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(3)), 2 * k))
+        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(7)), 3 * k))
     return out
 
 
@@ -181,9 +181,9 @@ def sketches_apart(a: Column, b: Column) -> Column:
     """
     out = F.lit(0)
     for k in range(len(LETTERS)):
-        count = lambda v: F.shiftrightunsigned(v, 2 * k).bitwiseAND(F.lit(3))  # noqa: B023, E731
-        d = (count(a) - count(b)).bitwiseAND(F.lit(3))
-        out = out + F.least(d, F.lit(4) - d)
+        count = lambda v: F.shiftrightunsigned(v, 3 * k).bitwiseAND(F.lit(7))  # noqa: B023, E731
+        d = (count(a) - count(b)).bitwiseAND(F.lit(7))
+        out = out + F.least(d, F.lit(8) - d)
     return out
 
 

@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushframe.llm.shared import staged
+from hushframe.llm.shared import joined, staged
 
-#: Vectors that the index is fitted on, at most; coarse cells, at most.
-SAMPLE = 60_000
+#: Vectors that the index is fitted on, at most, and bytes of them; coarse cells, at most.
+SAMPLE, SAMPLE_BYTES = 60_000, 64 << 20
 CELLS = 16_384
 #: Dimensions of a quantised part, and codes of a part.
 PART, CODES = 4, 256
@@ -87,18 +87,30 @@ def _valid(v: Column) -> Column:
     return F.coalesce(F.forall(v, fine) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def _key(v: Column) -> Column:
+    """128 bits that tell distinct vectors apart."""
+    return F.concat(F.hex(F.xxhash64(v)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), v)))
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        if len(b):
+            yield pd.DataFrame({"x": [np.array(b["v"].tolist(), np.float64).tobytes()]})
+
+
 def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = SAMPLE) -> DataFrame:
     """For each row whose vec_id is divisible by ``every`` the k rows of largest inner product, its own row left out.
 
     Columns: query_id, rank (from 1), vec_id, score (in double precision, on the original vectors); ties go to the
-    smaller vec_id. The index is fitted on at most ``sample`` vectors (by a hash) and holds all of them. Equal vectors
-    are one entry with their k + 1 smallest vec_ids, more of which no answer can have, so that a vector of very many
-    rows costs what any other does. Cells are searched in blocks of bounded size. Probing goes on beyond the usual
-    number of cells until they hold k + 1 rows, so that none is missing where there are enough.
+    smaller vec_id. The index is fitted on at most ``sample`` vectors (by a hash, and within SAMPLE_BYTES) and holds
+    all of them. Equal vectors are one entry with their k + 1 smallest vec_ids, more of which no answer can have, so
+    that a vector of very many rows costs what any other does. Cells are searched in blocks of bounded size. Probing
+    goes on beyond the usual number of cells until they hold k + 1 rows, so that none is missing where there are enough.
 
     Vectors that are null, zero, or hold null or non-finite components, rows without a vec_id, and vectors whose
-    length is not the most frequent one take no part, as query or answer. A vec_id that repeats with another vector
-    is another row: both are answers, and neither is one to itself. An empty table gives no rows.
+    length is not the most frequent one take no part, as query or answer. Rows that repeat a vec_id, with the same
+    vector or another, are rows of their own: each is a query, and only the query's own row is no answer to it, so
+    that its repeats are. An empty table gives no rows; further columns are ignored.
     """
     own = vectors.where(F.col("vec_id").isNotNull() & _valid(F.col("embedding"))).select(
         F.col("vec_id").cast("bigint").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v")
@@ -107,21 +119,24 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, sample:
     out = "query_id bigint, rank int, vec_id bigint, score double"
     if not sizes:
         return vectors.sparkSession.createDataFrame([], out)
-    d, rows = sizes[0]["d"], sizes[0]["count"]
-    own = own.where(F.size("v") == d)
-    least = Window.partitionBy("v").orderBy("vec_id")
+    d = sizes[0]["d"]
+    # -0.0 and 0.0 are one number, so that equal vectors have one key.
+    own = own.where(F.size("v") == d).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
+    own = own.withColumn("uid", _key(F.col("v")))
+    least = Window.partitionBy("uid").orderBy("vec_id")
     distinct = (
         own.withColumn("n", F.row_number().over(least))
         .where(F.col("n") <= k + 1)
-        .groupBy("v")
-        .agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-        .select(F.element_at("ids", 1).alias("vid"), "v", "ids")
+        .groupBy("uid")
+        .agg(F.any_value("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
     )
     distinct = staged(distinct, "ann-distinct")
     n = distinct.count()
-    chance = F.shiftrightunsigned(F.xxhash64("vid", F.lit(9)), 11) / F.lit(float(2**53))
+    sample = max(1, min(sample, SAMPLE_BYTES // (8 * d)))
+    chance = F.shiftrightunsigned(F.xxhash64("uid", F.lit(9)), 11) / F.lit(float(2**53))
     picked = distinct.where(chance < min(1.0, 0.95 * sample / n)).select("v").limit(sample) if n > sample else distinct.select("v")
-    points = np.array([r["v"] for r in picked.collect()], np.float64)
+    blobs = picked.mapInPandas(_packed, "x binary").collect()
+    points = np.concatenate([np.frombuffer(r["x"], np.float64).reshape(-1, d) for r in blobs])
     index = Index(points[np.lexsort(points.T)], n, k)
     shared = vectors.sparkSession.sparkContext.broadcast(index)
 
@@ -132,7 +147,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, sample:
                 yield b.assign(cell=cell.astype(np.int32), codes=[c.tobytes() for c in codes])
 
     coded = staged(
-        distinct.mapInPandas(encode, "vid long, v array<double>, ids array<long>, cell int, codes binary"), "ann-coded"
+        distinct.mapInPandas(encode, "uid string, v array<double>, ids array<long>, cell int, codes binary"), "ann-coded"
     )
     held = np.zeros(len(index.centres), np.int64)
     entries = np.zeros(len(index.centres), np.int64)
@@ -156,29 +171,29 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, sample:
                             who += [i] * int(blocks[c])
                             where += [int(c)] * int(blocks[c])
                             which += range(int(blocks[c]))
-                yield pd.DataFrame({"cell": where, "block": which, "qid": part["vid"].to_numpy()[who], "q": [part["v"].iloc[i] for i in who]})
+                yield pd.DataFrame({"cell": where, "block": which, "qid": part["uid"].to_numpy()[who], "q": [part["v"].iloc[i] for i in who]})
 
-    asked = own.where(F.col("vec_id") % every == 0)
-    asked = staged(asked.join(distinct.select("v", "vid"), "v").select("vec_id", "vid"), "ann-queries")
-    points = distinct.join(asked.select("vid").distinct(), "vid", "left_semi").select("vid", "v")
-    probes = points.mapInPandas(probe, "cell int, block int, qid long, q array<double>")
+    asked = own.where(F.col("vec_id") % every == 0).select("vec_id", "uid", F.monotonically_increasing_id().alias("row"))
+    asked = staged(asked, "ann-queries")
+    times = staged(asked.groupBy("uid").agg(F.count("*").alias("n")), "ann-times")
+    probes = distinct.join(times, "uid", "left_semi").mapInPandas(probe, "cell int, block int, qid string, q array<double>")
     spread = F.array(*map(F.lit, blocks.tolist())) if len(blocks) <= 512 else None
     if spread is None:
         table = vectors.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(blocks)], "cell int, nb int")
         placed = coded.join(F.broadcast(table), "cell")
     else:
         placed = coded.withColumn("nb", F.element_at(spread, F.col("cell") + 1))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("vid"), F.col("nb")).cast("int")).drop("nb")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("uid"), F.col("nb")).cast("int")).drop("nb")
 
     def search(key: tuple, entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"qid": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        none = pd.DataFrame({"qid": np.zeros(0, object), "uid": np.zeros(0, object), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(entries) or not len(queries):
             return none
         index = shared.value
-        entries = entries.sort_values("vid")
+        entries = entries.sort_values("ids", key=lambda ids: ids.map(lambda x: x[0]))
         x = np.array(entries["v"].tolist(), np.float64)
         codes = np.frombuffer(b"".join(entries["codes"]), np.uint8).reshape(len(x), -1)
-        ids = entries["ids"].tolist()
+        ids, uids = entries["ids"].tolist(), entries["uid"].tolist()
         found = []
         for at in range(0, len(queries), 128):
             q = np.array(queries["q"].iloc[at : at + 128].tolist(), np.float64)
@@ -192,26 +207,30 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, sample:
                 exact = x[short[i]] @ q[i]
                 best = short[i][np.argsort(-exact, kind="stable")[: k + 1]]
                 scores = x[best] @ q[i]
-                flat = [(-s, v) for s, e in zip(scores.tolist(), best) for v in ids[e]]
-                found += [(name, v, -s) for s, v in sorted(flat)[: k + 1]]
-        return pd.DataFrame(found, columns=["qid", "vec_id", "score"]) if found else none
+                flat = [(-s, v, uids[e]) for s, e in zip(scores.tolist(), best) for v in ids[e]]
+                found += [(name, u, v, -s) for s, v, u in sorted(flat)[: k + 1]]
+        return pd.DataFrame(found, columns=["qid", "uid", "vec_id", "score"]) if found else none
 
     answers = (
         placed.groupBy("cell", "block")
         .cogroup(probes.groupBy("cell", "block"))
-        .applyInPandas(search, "qid long, vec_id long, score double")
+        .applyInPandas(search, "qid string, uid string, vec_id long, score double")
     )
-    top = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
+    top = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id", "uid")
     lists = (
-        answers.withColumn("n", F.row_number().over(top))
-        .where(F.col("n") <= k + 1)
+        answers.withColumn("place", F.row_number().over(top))
+        .where(F.col("place") <= k + 1)
         .groupBy("qid")
-        .agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))
+        .agg(F.array_sort(F.collect_list(F.struct("place", "uid", "vec_id", "score"))).alias("best"))
     )
-    others = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    lists = staged(lists.withColumnRenamed("qid", "uid").join(times, "uid"), "ann-lists")
+    # One of the rows that are like the query's own is that row; it may be beyond the list, which is then long enough.
+    same = F.transform("best", lambda x: (x["vec_id"] == F.col("query_id")) & (x["uid"] == F.col("uid")))
+    own_place = F.array_position(same, True)
+    others = F.slice(F.filter("best", lambda x: x["place"] != F.col("own")), 1, k)
     return (
-        asked.select(F.col("vec_id").alias("query_id"), F.col("vid").alias("qid"))
-        .join(lists, "qid")
+        joined(asked.withColumnRenamed("vec_id", "query_id"), lists, ["uid"], "row")
+        .withColumn("own", own_place)
         .select("query_id", F.posexplode(others).alias("p", "x"))
         .select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
     )

@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hushframe.llm import html_text, language, neighbours, pii, quality, secrets
@@ -165,6 +167,28 @@ def test_neighbours(spark):
     assert neighbours.nearest_neighbours(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("times", [2, 26])
+def test_neighbours_of_repeated_rows(spark, times):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (60, 8))
+    x[:] /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(20, [float(c) for c in x[20]])] * (times - 1)
+    rows += [(40, [float(c) for c in x[7]])]  # the same id with a vector that another row has too
+    got = {}
+    for r in neighbours.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    y, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    for q in (0, 20, 40):
+        want = []
+        for at in np.flatnonzero(ids == q):  # each row of the id asks, and only that row is left out
+            s = y @ y[at]
+            want += ids[[i for i in np.lexsort((ids, -np.round(s, 12))) if i != at][:20]].tolist()
+        places, found = zip(*got[q])
+        assert sorted(places) == sorted(list(range(1, 21)) * int((ids == q).sum()))
+        assert (Counter(found) & Counter(want)).total() >= 0.9 * len(want)
+        assert found.count(20) == want.count(20) if q == 20 else q not in found or q == 40
+
+
 def test_pages(spark):
     shell = '<html><head><title>t</title><style>p{{}}</style></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>{}<footer>&copy; x</footer></body></html>'
     pages = [
