@@ -52,7 +52,7 @@ def op7_line_dedup(spark, sf_dir):
 
 
 def op8_mix_sources(spark, sf_dir):
-    return mixing.pareto_mix(_table(spark, sf_dir, "documents"))
+    return mixing.pareto_mix(_table(spark, sf_dir, "documents"), importance=mixing.by_length())
 
 
 def op9_simhash_near_dedup(spark, sf_dir):

@@ -191,6 +191,46 @@ def test_mix(spark):
     assert set(out.columns) == {*DOCS.replace(" long", "").replace(" string", "").split(", "), "copies", "taken"}
 
 
+def test_mix_draws_by_rank_with_unequal_chances(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.choice((1, 4, 30, 200))), f"s{i % 3}") for i in range(900)]
+    got = mixing.pareto_mix(docs(spark, rows), importance=mixing.by_length(), share=0.9).collect()
+    for s in ("s0", "s1", "s2"):
+        mine = [r for r in got if r.source == s]
+        whole = int(mine[0].target // mine[0].source_size)
+        rest = mine[0].target - whole * mine[0].source_size
+        assert abs(sum(r.chance * r["size"] for r in mine) - rest) < 1e-6 * mine[0].source_size
+        open_ = [r for r in mine if r.chance < 1]
+        ratios = [r.chance / np.log1p(r["size"]) for r in open_]
+        assert max(ratios) - min(ratios) < 1e-9 and len({round(r.chance, 9) for r in mine}) > 1
+        odds = lambda p: p / (1 - p) if p < 1 else 1e300
+        left, want = rest, set()
+        ranked = sorted(mine, key=lambda r: odds(r.u) / odds(r.chance))
+        for r in ranked:
+            if r["size"] > left:
+                break
+            left -= r["size"]
+            want.add(r.doc_id)
+        fits = [(abs(left - r["size"]), r.doc_id) for r in mine if r.doc_id not in want and abs(left - r["size"]) < left]
+        drawn = {r.doc_id for r in mine if r.copies > whole}
+        assert want <= drawn and len(drawn - want) == (1 if fits else 0)
+        assert all(abs(left - r["size"]) == min(fits)[0] for r in mine if r.doc_id in drawn - want)
+
+
+def test_mix_of_repeated_and_missing_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 64)  # large groups of equal rows are numbered by several tasks
+    for one in (7, None):
+        rows = [(one, "w " * 10, "a")] * 1000 + [(9000 + i, "w " * 10, "b") for i in range(500)]
+        got = mixing.pareto_mix(docs(spark, rows)).collect()
+        assert len(got) == 1500
+        for s in "ab":
+            mine = [r for r in got if r.source == s]
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= 10 and max(r.copies for r in mine) <= 2
+        out = mixing.mixed(docs(spark, rows).withColumn("row", F.lit(1)).withColumn("copies", F.lit(5))).collect()
+        assert sum(r.taken for r in out) == sum(r.taken for r in got) and [r.row for r in out if r.doc_id == one] == [1]
+    assert mixing.mixed(docs(spark, [])).count() == 0 and mixing.mixed(docs(spark, [(1, None), (None, "")])).count() == 0
+
+
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
