@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hushframe.llm.decontaminate import decontaminated
 from hushframe.llm.line_dedup import without_duplicate_lines
-from hushframe.llm.mixing import mixed
+from hushframe.llm.mixing import by_length, mixed
 from hushframe.llm.quality import of_quality
 from hushframe.llm.shared import staged
 from hushframe.llm.simhash import without_near_duplicates
@@ -38,7 +38,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed(docs)
+    return mixed(docs, importance=by_length())
 
 
 STAGES = [
