@@ -18,18 +18,19 @@ ROUNDS = 40
 #: Probability from which on the classifier adds a span.
 ACCEPT = 0.9
 
-# The contract's patterns (e-mail in two parts, joined by hand so that long words take linear time).
+# The contract's patterns (e-mail in two parts, joined by hand; an address tried only where a run of digits
+# begins, and never given back: what the pattern finds, in linear time).
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Wider nets, whose catch the vote decides on.
 LOOSE = (
     ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[\[(]dot[\])]|\.)\x20?[A-Za-z0-9-]{2,63})+"), "at"),
-    ("phone", re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"), None),
-    ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[\x20-][0-9]{4}){3}(?![0-9])|(?<![0-9])3[47][0-9]{2}[\x20-][0-9]{6}[\x20-][0-9]{5}(?![0-9])"), None),
+    ("phone", re.compile(r"(?<![0-9+])(?:\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}|[0-9]{3}[\x20.-][0-9]{4}|[0-9]{7,12})(?![0-9])"), None),
+    ("card", re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])"), None),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), None),
     ("name", re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sra|Sr)\.?\x20[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20})?"), None),
 )
@@ -167,8 +168,9 @@ def scan(docs: DataFrame) -> DataFrame:
 def reliabilities(keys: list[str], counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """The probability that a span with these votes is true, by Dawid and Skene's expectation-maximisation.
 
-    Each labeler has for true and for false spans a chance of each vote; these and the share of true spans are
-    estimated in turn with the spans' own probabilities, from the balance of votes onwards. Counts are smoothed.
+    Each labeler has for true and for false spans a chance of voting yes; these and the share of true spans are
+    estimated in turn with the spans' own probabilities, from the balance of votes onwards. A labeler without an
+    opinion says nothing either way. Counts are smoothed.
     """
     vote = np.array([["yn-".index(c) for c in k.partition("/")[2][:LABELERS]] for k in keys])
     balance = (vote == 0).sum(1) - 1.5 * (vote == 1).sum(1)
@@ -178,8 +180,8 @@ def reliabilities(keys: list[str], counts: np.ndarray, rounds: int = ROUNDS) ->
         for c, w in enumerate((p * counts, (1 - p) * counts)):
             log[c] += np.log((w.sum() + 1) / (counts.sum() + 2))
             for j in range(LABELERS):
-                by = np.array([w[vote[:, j] == v].sum() for v in range(3)]) + 1
-                log[c] += np.log(by / by.sum())[vote[:, j]]
+                by = np.array([w[vote[:, j] == v].sum() for v in range(2)]) + 1
+                log[c] += np.append(np.log(by / by.sum()), 0.0)[vote[:, j]]
         p = 1 / (1 + np.exp(np.clip(log[1] - log[0], -50, 50)))
     return p
 

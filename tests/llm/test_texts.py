@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -110,6 +111,83 @@ def digest_names(spans):
     return [f"{k}:{a}:{b}" for k, a, b in spans]
 
 
+def planted_personal_data(rng, n):
+    """Texts with loosely written personal data, or with numbers that are none, and the spans of the former."""
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+
+    def card(good):
+        d = "4" + digits(14)
+        check = next(c for c in "0123456789" if pii.luhn(d + c))
+        d += check if good else str((int(check) + 1 + rng.randrange(8)) % 10)
+        return "-".join(d[k : k + 4] for k in range(0, 16, 4)) if not good else d[:15] + d[15:]
+
+    made = [
+        (True, "email", lambda: f"please write to mary{digits(2)} [at] web{digits(2)}.com "),
+        (True, "phone", lambda: f"her phone is ({rng.randint(201, 989)}) 555-{digits(4)} "),
+        (True, "ssn", lambda: f"the ssn of {rng.randint(100, 599)}-{rng.randint(10, 99)}-{digits(4)} "),
+        (True, "name", lambda: f"dear Mrs. Anna {rng.choice(('Weber', 'Jones', 'Lopez'))} "),
+        (False, "", lambda: f"order no {digits(8)} "),
+        (False, "", lambda: f"serial {card(False)} "),
+        (False, "", lambda: f"build {digits(7)} of it "),
+        (False, "", lambda: f"isbn {digits(13)}x "),
+    ]
+    rows, want = [], set()
+    for i in range(n):
+        text = "we said " * rng.randint(1, 8)
+        for real, kind, make in rng.sample(made, 3) + [(False, "", lambda: "mail me at a.b@c.com or call +1 (212) 555-0147, visa 4111111111111111 ")]:
+            piece = make()
+            if real:
+                found = re.search(r"[a-z0-9]+ \[at\] \S+|\(?[0-9][0-9() -]+[0-9]|Mrs\. \w+ \w+", piece)
+                want.add((i, kind, len(text) + found.start(), len(text) + found.end()))
+            text += piece + "and so on " * 6
+        rows.append(text)
+    return rows, want
+
+
+def test_added_spans_are_precise_and_found(spark):
+    rows, want = planted_personal_data(random.Random(12), 400)
+    got = set()
+    for r in pii.personal_data_of_documents(texts(spark, rows)).collect():
+        base = {(k, a, b) for k, a, b in pii.base_spans(rows[r.doc_id])}
+        for kind, a, b in (x.split(":") for x in r.spans.split(",") if x):
+            if (pii.KINDS.index(kind), int(a), int(b)) not in base:
+                got.add((r.doc_id, kind, int(a), int(b)))
+    assert len(want) > 500 and len(got & want) / len(want) > 0.9 and len(got & want) / len(got) > 0.95
+
+
+def test_long_runs_take_linear_time():
+    began = time.time()
+    for text in ("1" * 1_000_000, "1." * 300_000, "+" + "(" * 500_000, "a@" * 200_000, "1234567890123 " * 50_000):
+        pii.loose_spans(text, pii.base_spans(text))
+    assert time.time() - began < 30
+
+
+def test_expectation_maximisation_against_plain_counts():
+    """Each row by itself, with dictionaries: the same posteriors, and a likelihood that never falls."""
+    rng = random.Random(3)
+    keys = [f"phone/{a}{b}-{c}{d}00" for a in "y-" for b in "yn" for c in "yn-" for d in "yn"]
+    counts = np.array([rng.randint(0, 9) for _ in keys], float)
+    rows = [k for k, n in zip(keys, counts) for _ in range(int(n))]
+    code = lambda k: k.partition("/")[2][: pii.LABELERS]
+    p = [1 / (1 + np.exp(-(code(k).count("y") - 1.5 * code(k).count("n") - 1.5))) for k in rows]
+    last = -np.inf
+    for _ in range(pii.ROUNDS):
+        total = {c: sum(x if c else 1 - x for x in p) for c in (0, 1)}
+        prior = {c: (total[c] + 1) / (len(rows) + 2) for c in (0, 1)}
+        chance = {}
+        for c in (0, 1):
+            for j in range(pii.LABELERS):
+                by = {v: 1 + sum((x if c else 1 - x) for x, k in zip(p, rows) if code(k)[j] == v) for v in "yn"}
+                chance |= {(c, j, v): n / sum(by.values()) for v, n in by.items()} | {(c, j, "-"): 1.0}
+        joint = lambda c, k: prior[c] * np.prod([chance[c, j, v] for j, v in enumerate(code(k))])  # noqa: B023, E731
+        fit = sum(np.log(joint(0, k) + joint(1, k)) for k in rows) + sum(np.log(x) for x in [*prior.values(), *chance.values()])
+        assert fit >= last - 1e-6
+        last = fit
+        p = [joint(1, k) / (joint(0, k) + joint(1, k)) for k in rows]
+    found = dict(zip(keys, pii.reliabilities(keys, counts)))
+    assert all(abs(found[k] - x) < 1e-6 for k, x in zip(rows, p))
+
+
 def test_expectation_maximisation_trusts_agreeing_labelers():
     keys, counts = ["phone/yyyyy00", "phone/-y-yy00", "phone/-n--n00", "phone/-n-nn00"], np.array([400.0, 60.0, 80.0, 30.0])
     p = pii.reliabilities(keys, counts)
