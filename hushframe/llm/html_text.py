@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of a window, and the weighted characters of a window at which a surge begins.
+#: Lines of a window, and the characters of a window that a surge must reach somewhere before it dives.
 WINDOW = 3
 SURGE = 60
 
@@ -120,30 +120,44 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def surges(weights: list[int]) -> list[tuple[int, int, int]]:
+    """From where the sums of WINDOW lines rise from nothing to where they fall back: first line, end, highest sum."""
+    out, k = [], 0
+    while k < len(weights):
+        if not weights[k]:
+            k += 1
+            continue
+        start = last = k
+        while k < len(weights) and k - last <= WINDOW:
+            last = k if weights[k] else last
+            k += 1
+        sums = [sum(weights[i : i + WINDOW]) for i in range(start, last + 1)]
+        out.append((start, last + 1, max(sums)))
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The lines between surge and dive points, joined by an empty line.
 
-    A line weighs its characters outside links; one that an article element holds weighs a window's surge at least,
-    and if there is such an element lines outside it weigh nothing. The weights of windows of WINDOW lines are
-    summed; text surges at the first window of SURGE or more and dives where its lines weigh nothing any more. All
-    lines from surge to dive are kept whole.
+    A line weighs its characters outside links, or nothing where most of it is links; one that an article element
+    holds weighs SURGE at least. Text surges where the sums of windows of WINDOW lines rise from nothing and dives where
+    they fall back to nothing; all lines from surge to dive are kept whole if a window between reaches SURGE (or none
+    on the page does). Where an article element begins or ends a surge ends too, and what surges outside is kept only
+    if it rises as high as the article does at its highest: the mark is then on a teaser, not on the text.
     """
     lines = lines_of(page or "")
-    if not lines:
-        return ""
-    article = any(held for _, _, held in lines)
-    weights = [(max(plain, SURGE) if held else 0) if article else plain if 2 * plain >= len(s) else 0 for s, plain, held in lines]
-    sums = [sum(weights[k : k + WINDOW]) for k in range(len(lines))]
-    keep, k = [False] * len(lines), 0
-    least = SURGE if max(sums) >= SURGE else 1
-    while k < len(lines):
-        if sums[k] >= least and weights[k]:
-            while k < len(lines) and sums[k]:
-                keep[k] = weights[k] > 0 or not article
-                k += 1
-        else:
-            k += 1
-    return "\n\n".join(s for (s, _, _), kept in zip(lines, keep) if kept)
+    parts: list[tuple[bool, int, list[int]]] = []  # held, first line, weights
+    for k, (s, plain, held) in enumerate(lines):
+        if not parts or parts[-1][0] != held:
+            parts.append((held, k, []))
+        own = plain if 2 * plain >= len(s) else 0
+        parts[-1][2].append(max(plain, SURGE) if held else own)
+    found = [(held, first + a, first + b, peak) for held, first, weights in parts for a, b, peak in surges(weights)]
+    least = min(SURGE, max((peak for *_, peak in found), default=0))
+    for _, first, weights in (p for p in parts if p[0]):
+        plains = [plain for _, plain, _ in lines[first : first + len(weights)]]
+        least = max(least, SURGE, *(sum(plains[k : k + WINDOW]) for k in range(len(plains))))
+    return "\n\n".join(s for held, a, b, peak in found if held or peak >= least for s, _, _ in lines[a:b])
 
 
 def with_main_text(pages: DataFrame) -> DataFrame:

@@ -267,6 +267,35 @@ def test_neighbours_of_repeated_rows(spark, times):
         assert found.count(20) == want.count(20) if q == 20 else q not in found or q == 40
 
 
+def test_surges_against_all_windows():
+    rng = random.Random(6)
+    for _ in range(400):
+        w = [rng.choice((0, 0, 0, 1, 40, 90)) for _ in range(rng.randint(0, 25))]
+        full = [k for k, x in enumerate(w) if x]
+        # Two lines are in one surge if every window of lines from the one to the other has some weight.
+        live = lambda a, b: all(any(w[k : k + html_text.WINDOW]) for k in range(a, b))  # noqa: B023, E731
+        want, at = [], 0
+        while at < len(full):
+            a = full[at]
+            b = max(x for x in full if x >= a and live(a, x))
+            want.append((a, b + 1, max(sum(w[k : k + html_text.WINDOW]) for k in range(a, b + 1))))
+            at = full.index(b) + 1
+        assert html_text.surges(w) == want
+
+
+def test_windows_find_the_article_without_its_marks(spark):
+    """The same texts where article and main tags are gone or renamed, and where a teaser alone is marked."""
+    for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect():
+        text = html_text.main_text(r.html)
+        assert text == html_text.main_text(re.sub(r"</?(article|main)\b[^>]*>", "", r.html, flags=re.I))
+        assert text == html_text.main_text(re.sub(r"<(/?)(article|main)\b[^>]*>", r"<\1section>", r.html, flags=re.I))
+    long = "Some sentence of the text itself. " * 20
+    page = f"<article>Read more about it</article><div><p>{long}</p><p>{long}</p></div>"
+    assert html_text.main_text(page) == "\n\n".join(["Read more about it", long.strip(), long.strip()])
+    page = f"<div>We like to be liked by all our readers, whoever they may be.</div><article><p>{long}</p></article>"
+    assert html_text.main_text(page) == long.strip()
+
+
 def test_pages(spark):
     shell = '<html><head><title>t</title><style>p{{}}</style></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>{}<footer>&copy; x</footer></body></html>'
     pages = [
