@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hushframe.llm.shared import staged
+
 #: Words of a window.
 WINDOW = 10
-#: UTF-8 bytes of benchmark text in one broadcast; a larger benchmark is scanned for in as many blocks as it needs.
-BLOCK_BYTES = 32 << 20
+#: UTF-8 bytes of benchmark text in one broadcast, whose index takes up to some 25 times as much (200 MB); a larger
+#: benchmark is scanned for in as many blocks as it needs.
+BLOCK_BYTES = 8 << 20
 
 #: Every ASCII byte but digits and letters parts words; capitals become small letters.
 _FOLD = bytes(
@@ -28,20 +30,36 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of benchmark items: a number for each word, and by length the rolling hashes of windows."""
+    """The windows of benchmark items in arrays: all items' words by number, and by length of window the rolling hashes
+    in order, each with the place of its words and its item. A word's number is its only entry in a dictionary."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int):
         self.numbers: dict[bytes, int] = {}
-        by_window: dict[tuple[int, ...], set] = defaultdict(set)
+        self.items: list[object] = []
+        number, parts, places = self.numbers, [], {}
+        at = 0
         for item, text in items:
-            ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                by_window[tuple(ids[k : k + window])].add(item)
-        self.by_window = dict(by_window)
-        self.hashes = {
-            n: np.unique(self.rolling(np.array([w for w in by_window if len(w) == n], np.uint64).ravel(), n)[::n])
-            for n in {len(w) for w in by_window}
-        }
+            ids = np.fromiter((number.setdefault(w, len(number) + 1) for w in words_of(text)), np.uint32)
+            if len(ids):
+                n = min(window, len(ids))
+                count = len(ids) - n + 1
+                places.setdefault(n, []).append((at + np.arange(count), np.full(count, len(self.items), np.int32)))
+                self.items.append(item)
+                parts.append(ids)
+                at += len(ids)
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        self.tables = {}
+        for n, found in places.items():
+            place, item = (np.concatenate(x) for x in zip(*found))
+            known = self.rolling(self.words.astype(np.uint64), n)[place]
+            order = np.lexsort((item, known))
+            known, place, item = known[order], place[order], item[order]
+            # A window that an item repeats is kept once.
+            again = np.zeros(len(known), bool)
+            again[1:] = (known[1:] == known[:-1]) & (item[1:] == item[:-1])
+            for k in np.flatnonzero(again).tolist():
+                again[k] = (self.words[place[k] : place[k] + n] == self.words[place[k - 1] : place[k - 1] + n]).all()
+            self.tables[n] = known[~again], place[~again], item[~again]
 
     @staticmethod
     def rolling(ids: np.ndarray, n: int) -> np.ndarray:
@@ -54,20 +72,26 @@ class Windows:
             out += mixed[k : k + len(out)]
         return out
 
-    def find(self, words: list[bytes]) -> list[tuple[int, int, set]]:
+    def find(self, words: list[bytes]) -> list[tuple[int, int, list]]:
         """Verified occurrences in order: first word, number of words, items."""
-        if not words or not self.hashes:
+        if not words or not self.tables:
             return []
         get = self.numbers.get
         ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
         found = []
-        for n, known in self.hashes.items():
+        for n, (known, place, item) in self.tables.items():
             rolled = self.rolling(ids, n)
             if not len(rolled):
                 continue
-            place = np.minimum(np.searchsorted(known, rolled), len(known) - 1)
-            for at in np.flatnonzero(known[place] == rolled).tolist():
-                items = self.by_window.get(tuple(ids[at : at + n].tolist()))
+            first = np.minimum(np.searchsorted(known, rolled), len(known) - 1)
+            for at in np.flatnonzero(known[first] == rolled).tolist():
+                end = np.searchsorted(known, rolled[at], "right")
+                own = ids[at : at + n]
+                items = [
+                    self.items[item[k]]
+                    for k in range(first[at], end)
+                    if (self.words[place[k] : place[k] + n] == own).all()
+                ]
                 if items:
                     found.append((at, n, items))
         return sorted(found, key=lambda x: x[:2])
@@ -96,14 +120,14 @@ FOUND = "n_words bigint, spans array<struct<start:int,end:int>>, items array<str
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Adds to each row of docs: n_words, spans (word ranges inside occurrences of benchmark windows) and items.
+    """row (each row of docs) and _found: n_words, spans (word ranges inside occurrences of benchmark windows) and items.
 
     Words and windows are those of the module's ``words_of`` (ASCII letters lower-cased; letters, digits and all
     non-ASCII characters make words); an item of fewer words than a window is one window, an item of none has none.
     Within the byte limit the benchmark is one broadcast and docs are scanned once without a shuffle. A larger one is
     broadcast block by block, each block in a scan of its own, and a row's results are put together by a row number.
     Null and empty texts have no words and no hits. Repeated rows are scanned each. Items that repeat an item_id
-    count as one item; null item_ids are left out of items but their windows hit. All columns of docs stay.
+    count as one item; null item_ids are left out of items but their windows hit. Columns of docs may have any names.
     """
     spark = docs.sparkSession
 
@@ -124,16 +148,14 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                     names.append(sorted({str(i) for _, _, x in hits for i in x if i is not None}))
                 yield pd.DataFrame({"n_words": n_words, "spans": spans, "items": names})
 
-        return rows.withColumn("_found", find("text"))
+        return rows.withColumn("_found", find("row.text"))
 
-    blocks = _blocks(benchmark, block_bytes)
+    blocks, docs = _blocks(benchmark, block_bytes), docs.select(F.struct("*").alias("row"))
     if len(blocks) == 1:
         out = scan(docs, blocks[0])
     else:
-        from hushframe.llm.shared import staged
-
         rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate-rows")
-        parts = [scan(rows.select("_row", "text"), b).select("_row", "_found.*") for b in blocks]
+        parts = [scan(rows, b).select("_row", "_found.*") for b in blocks]
         every = parts[0]
         for p in parts[1:]:
             every = every.union(p)
@@ -167,7 +189,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return (
         benchmark_hits(docs.select("doc_id", "text"), benchmark, window)
         .select(
-            "doc_id",
+            "row.doc_id",
             F.col("_found.n_words").alias("n_words"),
             hit_words(F.col("_found.spans")).alias("n_hit"),
             F.size(items).cast("bigint").alias("n_items"),
@@ -181,7 +203,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """docs without benchmark passages: hit words go out of the text, and documents hit in over ``max_share`` go.
 
     A hit span is cut from its first word to the start of the next word outside it (to the end of the text if there is
-    none). Rows without hits pass unchanged, null and empty texts too.
+    none). Rows without hits pass unchanged, null and empty texts too, and so do all other columns.
     """
     share = hit_words(F.col("_found.spans")) / F.col("_found.n_words")
 
@@ -193,7 +215,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         )
 
     found = benchmark_hits(docs, benchmark, window).where((F.size("_found.spans") == 0) | (share <= F.lit(max_share)))
-    return found.withColumn("text", cut("text", "_found.spans")).drop("_found").select(docs.columns)
+    return found.select(F.col("row").withField("text", cut("row.text", "_found.spans")).alias("row")).select("row.*")
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:

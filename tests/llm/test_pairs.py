@@ -263,7 +263,7 @@ def test_contamination(spark, limit):
     bench = spark.createDataFrame(items, "item_id long, text string")
     hits = decontaminate.benchmark_hits(docs(spark, rows).withColumn("item_id", F.lit(0)), bench, block_bytes=limit)
     items_of = F.array_join("_found.items", ",")
-    got = hits.select("doc_id", "_found.n_words", decontaminate.hit_words(F.col("_found.spans")), F.size("_found.items"), F.sha2(items_of, 256), decontaminate.hit_words(F.col("_found.spans")) > 0)
+    got = hits.select("row.doc_id", "_found.n_words", decontaminate.hit_words(F.col("_found.spans")), F.size("_found.items"), F.sha2(items_of, 256), decontaminate.hit_words(F.col("_found.spans")) > 0)
     assert sorted(map(tuple, got.collect()), key=repr) == naive_hits(rows, items)
     assert decontaminate.contamination(docs(spark, []), bench).count() == 0
     assert all(not r.contaminated for r in decontaminate.contamination(docs(spark, rows), bench.limit(0)).collect())
@@ -274,7 +274,10 @@ def test_decontaminated(spark):
     bench = spark.createDataFrame([(1, ten)], "item_id long, text string")
     keep = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     rows = [(1, f"{keep} {ten}, {keep}"), (2, ten), (3, keep), (4, None)]
-    got = {r.doc_id: r.text for r in decontaminate.decontaminated(docs(spark, rows), bench).collect()}
+    d = docs(spark, rows).withColumn("row", F.lit(1)).withColumn("_found", F.lit(2)).withColumn("items", F.lit(3))
+    out = decontaminate.decontaminated(d, bench)
+    assert out.columns == d.columns and decontaminate.decontaminated(docs(spark, []), bench).count() == 0
+    got = {r.doc_id: r.text for r in out.collect()}
     assert got == {1: f"{keep} {keep}", 3: keep, 4: None}
 
 

@@ -42,6 +42,31 @@ def test_quality_on_held_out_labels(spark):
     assert quality.quality_of_documents(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
+def test_prior_is_estimated_from_positives_and_unlabelled(share):
+    rng = np.random.default_rng(4)
+    n = quality.N_FEATURES
+    good, bad = rng.normal(1, 1, (9000, n)), rng.normal(-1, 1, (6000, n))
+    k = int(6000 * share)
+    prior = quality.estimated_prior(good[:3000], np.concatenate([good[3000 : 3000 + k], bad[: 6000 - k]]))
+    assert share - 0.1 < prior <= share + 0.01
+
+
+def test_quality_with_labels_on_all_documents_repeats_and_clashing_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
+    ids = [r.doc_id for r in docs.select("doc_id").collect()]
+    bad = {i for i in ids if i % 3 == 0}
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.lit("$$$ 11 ## 22 $$$ 33\n" * 30)).otherwise(F.col("text")))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 != 0).cast("int").alias("quality"))
+    docs = docs.withColumn("score", F.lit("mine")).withColumn("row", F.lit(3)).withColumn("_score", F.lit(4))
+    docs = docs.union(docs.where("doc_id % 5 = 1")).union(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    out = quality.of_quality(docs, labels)
+    assert out.columns == docs.columns and out.where("score != 'mine' OR row != 3").count() == 0
+    kept = [r.doc_id for r in out.select("doc_id").collect()]
+    assert not set(kept) & bad and len(kept) >= 0.95 * docs.where("doc_id % 3 != 0").count()
+    assert quality.of_quality(docs.limit(0), labels).count() == 0
+
+
 def test_non_negative_risk_separates_without_negatives():
     rng = np.random.default_rng(0)
     n = quality.N_FEATURES
