@@ -14,8 +14,8 @@ from hushframe.llm.shared import Bitmap, components, discard, joined, staged
 EDITS = 2
 #: Code points of a segment that its signature looks at: lines that agree in a segment agree in its beginning.
 SIGNED = 32
-#: Letters, of the less frequent ones (they cost least to count), whose counts, modulo 8, make up the sketch of a line; the bits from 30 on tell how it is looked up.
-LETTERS = "dlugwbcmkp"
+#: Letters whose counts, modulo 4, make up the sketch of a line; the bits from 30 on tell how it is looked up.
+LETTERS = "entairsohdlugwb"
 #: Code points of a line from which on it can be a duplicate: every line that is not blank.
 LEAST = 1
 #: Code points of the longer of two lines from which on edits link them: among shorter ones ("Yes.", "Yet.") two edits
@@ -165,11 +165,11 @@ def _banded(x: Column, k: int) -> Column:
 
 
 def sketch(line: Column) -> Column:
-    """Counts of LETTERS, three bits each."""
+    """Counts of LETTERS, two bits each."""
     out = F.lit(0)
     for k, letter in enumerate(LETTERS):
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter)))
-        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(7)), 3 * k))
+        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(3)), 2 * k))
     return out
 
 
@@ -181,9 +181,9 @@ def sketches_apart(a: Column, b: Column) -> Column:
     """
     out = F.lit(0)
     for k in range(len(LETTERS)):
-        count = lambda v: F.shiftrightunsigned(v, 3 * k).bitwiseAND(F.lit(7))  # noqa: B023, E731
-        d = (count(a) - count(b)).bitwiseAND(F.lit(7))
-        out = out + F.least(d, F.lit(8) - d)
+        count = lambda v: F.shiftrightunsigned(v, 2 * k).bitwiseAND(F.lit(3))  # noqa: B023, E731
+        d = (count(a) - count(b)).bitwiseAND(F.lit(3))
+        out = out + F.least(d, F.lit(4) - d)
     return out
 
 
@@ -218,19 +218,24 @@ def edit_links(lines: DataFrame, edits: int = EDITS, repeated: DataFrame | None
     often = Bitmap(repeated.select("node"), "lines-repeated-bits").marked(lines, "node", "often")
     distinct = often.where("NOT often").select("node", "line").union(often.where("often").select("node", "line").distinct())
     n = F.col("n")
-    sized = distinct.withColumn("n", F.length("line")).withColumn("sketch", sketch(F.col("line")))
+    sized = distinct.withColumn("n", F.length("line"))
     index, lookups = [], []
     for i in range(edits + 1):
         start, size = _segment(n, i, edits)
-        index.append(_signature(F.col("line"), n, i, start, size))
-    for less, i, shift in probes(edits):
+        index.append(_signature(F.col("line"), n, i, start, size).alias(f"i{i}"))
+    sought = [(less, i, shift) for less, i, shift in probes(edits) if less or shift]
+    for k, (less, i, shift) in enumerate(sought):
         start, size = _segment(n - less, i, edits)
         sig = _signature(F.col("line"), n - less, i, start + shift, size)
-        if less or shift:
-            lookups.append(F.struct(F.col("sketch").bitwiseOR(F.shiftleft(F.lit(min(less, 3)), 30)).alias("s"), sig.alias("sig")))
-    index = sized.select("node", F.col("sketch").alias("s"), F.explode(F.array(*index)).alias("sig"))
-    # The line that looks up is the longer one; less (3: 3 or more) stands above its sketch.
-    lookups = sized.where(n >= LINKED).select("node", F.inline(F.array(*lookups)))
+        # The line that looks up is the longer one.
+        lookups.append(F.when(n >= LINKED, sig).alias(f"l{k}"))
+    # Letters are counted once: that costs more than to write the numbers down.
+    signed = staged(sized.select("node", sketch(F.col("line")).alias("s"), *index, *lookups), "lines-signed")
+    index = signed.select("node", "s", F.explode(F.array(*(f"i{i}" for i in range(edits + 1)))).alias("sig"))
+    # less (3: 3 or more) stands above the sketch.
+    code = lambda less: F.col("s").bitwiseOR(F.shiftleft(F.lit(min(less, 3)), 30)).alias("s")
+    lookups = F.array(*(F.struct(code(less), F.col(f"l{k}").alias("sig")) for k, (less, _, _) in enumerate(sought)))
+    lookups = signed.where("l0 IS NOT NULL").select("node", F.inline(lookups))
     side = lambda df, x: df.select(F.col("node").alias(x), F.col("s").alias(f"s{x}"), F.col("sig"))
     apart, less = sketches_apart(F.col("sa"), F.col("sb")), F.shiftrightunsigned("sb", 30)
     left, right = side(index, "a"), side(index, "b")
@@ -239,6 +244,7 @@ def edit_links(lines: DataFrame, edits: int = EDITS, repeated: DataFrame | None
     near = (left["sig"] == right["sig"]) & (F.col("a") != F.col("b")) & (apart <= 2 * edits - less)
     met = met.union(left.join(right, near).select(F.least("a", "b"), F.greatest("a", "b")))
     met = staged(met.distinct(), "lines-met")
+    discard(signed)
 
     ends = met.select(F.col("a").alias("node")).union(met.select("b")).groupBy("node").agg(F.count("*").alias("n"))
     ends = staged(ends, "lines-ends")
