@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.shared import components, staged
+from hushframe.llm.shared import Bitmap, components, joined, staged
 
 BITS = 64
 #: The fingerprint is read in three bit orders, each beginning with another of these blocks of bits.
@@ -247,15 +247,17 @@ def simhash_classes(docs: DataFrame, width: int = 3, budget: int = 2, seed: int
     """
     if budget > max_link_bits:
         raise ValueError("the budget is too wide for this join")
-    marked = staged(docs.select("doc_id", fingerprint(F.col("text"), width, seed).alias("fp")), "simhash-prints")
-    firsts = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    own = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), fingerprint(F.col("text"), width, seed).alias("fp"))
+    marked = staged(own, "simhash-prints")
+    firsts = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-distinct")
     links = hamming_forest(firsts.select("fp"), budget, "simhash-links")
     roots = components(links, "simhash-components")
     named = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = staged(named.join(least, "root").select("fp", "component_id"), "simhash-classes")
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    classes = joined(named.select("fp", "root", F.col("n").alias("rows")), staged(least, "simhash-least"), ["root"], "fp")
+    classes = staged(classes.select("fp", "component_id", F.col("rows").alias("n")), "simhash-classes")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(classes, "fp").select("doc_id", "fp", hexed.alias("fingerprint"), "component_id")
+    return joined(marked, classes, ["fp"], "row").select("doc_id", "fp", hexed.alias("fingerprint"), "component_id")
 
 
 def parities(grams: np.ndarray) -> tuple[int, int]:
@@ -400,19 +402,18 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: float =
 
     Equal texts are in one group, and so are texts that links lead to (see ``near_duplicate_links``). All null texts
     are one group, and all texts without a word that are equal. Null doc_ids come last; of rows that agree in doc_id
-    and text one stays. docs' columns.
+    and text one stays. docs' columns, whatever their names. Documents that a bitmap shows to be alone in their group
+    pass as they lie; only the others are shuffled.
     """
     last = F.lit(2**63 - 1)
     roots = components(near_duplicate_links(docs, width, similarity), "near-components")
-    own = docs.select(F.coalesce("doc_id", last).alias("_id"), F.xxhash64("text").alias("_node"))
-    classes = own.groupBy("_node").agg(F.min("_id").alias("_id"))
-    classes = classes.join(roots.withColumnRenamed("node", "_node"), "_node", "left")
-    # The least document of a class, and its text.
-    kept = (
-        classes.groupBy(F.coalesce("root", "_node").alias("root"))
-        .agg(F.min(F.struct("_id", "_node")).alias("k"))
-        .select("k._id", "k._node")
-    )
-    kept = staged(kept, "near-kept")
-    marked = docs.withColumn("_id", F.coalesce("doc_id", last)).withColumn("_node", F.xxhash64("text"))
-    return marked.join(kept, ["_id", "_node"], "left_semi").dropDuplicates(["_id", "_node"]).select(docs.columns)
+    id_, node = F.coalesce("doc_id", last).alias("id"), F.xxhash64("text").alias("node")
+    texts = docs.select(id_, node).groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    texts = staged(texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.when(F.col("n") > 1, F.col("node")))), "near-texts")
+    bits = Bitmap(texts.where("root IS NOT NULL").select("node"), "near-bits")
+    # The least document of a group, and its text; of what the bitmap lets through beside groups, itself.
+    there = bits.marked(texts, "node", "there").where("there").groupBy(F.coalesce("root", "node").alias("root"))
+    kept = staged(there.agg(F.min(F.struct("id", "node")).alias("k")).select("k.id", "k.node"), "near-kept")
+    rows = bits.marked(docs.select(F.struct("*").alias("row"), id_, node), "node", "there")
+    one = rows.where("there").dropDuplicates(["id", "node"]).join(kept, ["id", "node"], "left_semi").select("row")
+    return rows.where("NOT there").select("row").union(one).select("row.*")

@@ -117,6 +117,16 @@ def test_near_duplicates_leave_one_of_each_group(spark):
     assert kept == set(range(30)) | {501, 503}
 
 
+def test_near_duplicates_edges(spark):
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = [(5, text), (5, text), (None, text), (3, None), (4, None), (7, ""), (8, ""), (9, "alone in here"), (None, "nobody")]
+    d = docs(spark, rows).withColumn("row", F.lit(1)).withColumn("node", F.lit(2)).withColumn("there", F.lit(True)).withColumn("root", F.lit("x"))
+    out = simhash.without_near_duplicates(d)
+    assert out.columns == d.columns
+    assert sorted(map(str, (r.doc_id for r in out.collect()))) == sorted(["5", "3", "7", "9", "None"])
+    assert simhash.without_near_duplicates(d.limit(0)).count() == 0
+
+
 def families_without_originals(rng, families=12, pairs=9):
     """Texts of two edits each: two of a pair share one, so that they are at 0.81, and all others at 0.76 or less."""
     rows = []
