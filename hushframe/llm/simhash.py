@@ -329,11 +329,18 @@ def links_left(met: DataFrame, sets: DataFrame, similarity: float, budget: int)
     verified links hold it together or all its pairs are in met; each other one is dealt out in blocks, and each pair
     of blocks is compared in a task of its own. sets has node, s and fps.
     """
-    within = components(met.select("a", "b"), "near-candidates")
     classes = components(met.where("ok").select("a", "b"), "near-classes").withColumnRenamed("root", "cls")
-    members = within.join(classes, "node", "left").withColumn("cls", F.coalesce("cls", "node"))
-    members = staged(members.join(sets.select("node", F.size("s").alias("n")), "node"), "near-members")
-    tested = met.join(within, F.col("a") == F.col("node")).groupBy("root").agg(F.count("*").alias("tested"))
+    nodes = met.select(F.col("a").alias("node")).union(met.select("b")).distinct()
+    classed = staged(nodes.join(classes, "node", "left").withColumn("cls", F.coalesce("cls", "node")), "near-classed")
+    # Candidates between classes, each two once: far fewer than candidates, most of which one class holds.
+    end = lambda x: classed.select(F.col("node").alias(x), F.col("cls").alias(f"c{x}"))
+    between = met.where("NOT ok").join(end("a"), "a").join(end("b"), "b").where("ca != cb")
+    apart = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "near-candidates")
+    sizes = classed.groupBy("cls").agg(F.count("*").alias("n")).join(apart.withColumnRenamed("node", "cls"), "cls", "left")
+    sizes = staged(sizes.select("cls", "n", F.coalesce("root", "cls").alias("root")), "near-sizes")
+    within = staged(joined(classed, sizes, ["cls"], "node"), "near-within")
+    members = staged(within.join(sets.select("node", F.size("s").alias("n")), "node"), "near-members")
+    tested = met.join(within.select(F.col("node").alias("a"), "root"), "a").groupBy("root").agg(F.count("*").alias("tested"))
     size = members.groupBy("root").agg(
         F.count("*").alias("m"), F.sum("n").alias("shingles"), (F.min("cls") != F.max("cls")).alias("parted")
     )
