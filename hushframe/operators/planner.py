@@ -56,12 +56,22 @@ def plan_rules(requests: DataFrame, elements: DataFrame) -> DataFrame:
     )
 
 
+#: Fixed value: the reason of an action that was stopped for its target.
+UNDISCLOSED = "planner targeted undisclosed element"
+
+
 def undisclosed_to_stop(actions: DataFrame, elements: DataFrame) -> DataFrame:
-    """Actions on a target that was not disclosed become STOP."""
+    """Actions on a target that was not disclosed become STOP, sure of nothing, without target and value.
+
+    actions: request_id, target_id, action, and of confidence, value and reason_code what there is. An empty target is
+    none.
+    """
     known = elements.select("request_id", F.col("id").alias("target_id"), F.lit(True).alias("_known")).distinct()
-    a = actions.join(known, ["request_id", "target_id"], "left")
-    bad = F.col("target_id").isNotNull() & F.col("_known").isNull()
-    return a.withColumn("action", F.when(bad, "STOP").otherwise(F.col("action"))).withColumn("target_id", F.when(~bad, F.col("target_id"))).drop("_known")
+    bad = (F.coalesce("target_id", F.lit("")) != "") & F.col("_known").isNull()
+    fresh = {"action": "STOP", "confidence": 0.0, "reason_code": UNDISCLOSED, "target_id": None, "value": None}
+    a = actions.join(known, ["request_id", "target_id"], "left").withColumn("_bad", bad)
+    stopped = [F.when(F.col("_bad"), F.lit(fresh[c])).otherwise(F.col(c)).alias(c) if c in fresh else F.col(c) for c in actions.columns]
+    return a.select(*stopped)
 
 
 def intent_note(goal: Column, target: Column) -> Column:

@@ -171,3 +171,17 @@ def test_snapshot_files_and_upsert(spark, tmp_path):
     pages.write_results(new(1), str(tmp_path / "one"))
     assert pages.upsert_results(new(2), str(tmp_path / "one"), ["k"], str(tmp_path / "two")).collect() == [("a", 2)]
     assert pages.upsert_results(new(3), str(tmp_path / "none"), ["k"], str(tmp_path / "three")).collect() == [("a", 3)]
+
+
+def test_undisclosed_targets_stop(spark):
+    from hushframe.operators import planner
+
+    actions = spark.createDataFrame(
+        [(1, "CLICK", "el_1", 0.8, "a"), (1, "CLICK", "el_9", 0.8, "a"), (2, "SCROLL", None, 0.5, "b"), (2, "WAIT", "", 0.4, "c")],
+        "request_id int, action string, target_id string, confidence double, reason_code string",
+    )
+    elements = spark.createDataFrame([(1, "el_1"), (1, "el_1"), (2, "el_9")], "request_id int, id string")
+    got = {tuple(r) for r in planner.undisclosed_to_stop(actions, elements).collect()}
+    assert got == {
+        (1, "CLICK", "el_1", 0.8, "a"), (1, "STOP", None, 0.0, planner.UNDISCLOSED), (2, "SCROLL", None, 0.5, "b"), (2, "WAIT", "", 0.4, "c"),
+    }
