@@ -7,6 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hushframe.functions.bind import let
+
+#: Matches that are placed one after the other; runs of them are placed apart, so that arrays grow by short steps only.
+RUN = 256
 #: Characters of an entropy window; bits from which on a window is random, by class of character.
 WINDOW = 20
 BITS = {"hex": 3.0, "mixed": 3.6}
@@ -41,25 +45,28 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
     zero = F.lit(0)
     steps = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("m"), F.length(b).alias("b")))
     empty = F.array().cast("array<struct<start:int,ord:int,end:int,s:string>>")
-    walked = F.aggregate(
-        steps,
-        F.struct(zero.alias("at"), empty.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["b"] + F.length(x["m"])).alias("at"),
-            F.concat(
-                a["out"],
-                F.array(
-                    F.struct(
-                        (a["at"] + x["b"]).alias("start"),
-                        F.lit(kind_at).alias("ord"),
-                        (a["at"] + x["b"] + F.length(x["m"])).alias("end"),
-                        x["m"].alias("s"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-    )["out"]
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+
+    def placed(run: Column, since: Column) -> Column:
+        """A short run of steps that begins at a place of the text."""
+
+        def step(a: Column, x: Column) -> Column:
+            start, end = a["at"] + x["b"], a["at"] + x["b"] + F.length(x["m"])
+            span = F.struct(start.alias("start"), F.lit(kind_at).alias("ord"), end.alias("end"), x["m"].alias("s"))
+            return F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
+
+        return F.aggregate(run, F.struct(since.alias("at"), empty.alias("out")), step)["out"]
+
+    def walked(all_: Column) -> Column:
+        runs = F.transform(F.sequence(zero, F.floor((F.size(all_) - 1) / RUN).cast("int")), lambda k: F.slice(all_, k * RUN + 1, RUN))
+        return let(runs, lambda rs: F.flatten(F.zip_with(rs, begins(rs), placed)))
+
+    def begins(rs: Column) -> Column:
+        size = lambda run: F.aggregate(run, zero, lambda n, x: n + x["b"] + F.length(x["m"]))
+        start = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(F.transform(rs, size), start, step)["out"]
+
+    return F.when(text.rlike(pattern), let(steps, walked)).otherwise(empty)
 
 
 def window_entropy(s: Column, window: int = WINDOW) -> Column:

@@ -96,6 +96,14 @@ def test_secrets(spark):
     assert secrets.secrets_of_documents(texts(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_very_many_matches_in_one_text(spark):
+    text = "é 0123456789abcdef x" * 16000
+    began = time.time()
+    r = secrets.secrets_of_documents(texts(spark, [text])).collect()[0]
+    want = [("hex", *m.span()) for m in re.finditer("[0-9a-f]{16,}", text)]
+    assert r.n_hex == 16000 and r.base_sha256 == digest(want) and time.time() - began < 60
+
+
 def test_window_entropy_by_incremental_counts(spark):
     rng = random.Random(6)
     rows = ["".join(rng.choice("abcdef0123456789") for _ in range(n)) for n in (5, 20, 21, 48, 90)] + ["a" * 30]
