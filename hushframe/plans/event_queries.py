@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from hushframe.operators import metrics
 from hushframe.plans.inputs import events
-from hushframe.streaming import state
+from hushframe.streaming import sink, state
 
 QUERIES, ORACLE_SQL = {}, {}
 E = "e AS (SELECT *, epoch_ms(ts) AS ms FROM events)"
@@ -89,30 +89,18 @@ def _stream(spark, d):
     return files.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _run(df, name, mode):
-    """To the end of what is there, into a table in memory; ended whatever happens."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    try:
-        q.awaitTermination(300)
-        if q.exception():
-            raise q.exception()
-    finally:
-        q.stop()
-    return df.sparkSession.table(name)
-
-
 @query(ORACLE_SQL["last_receipt"])
 def stream_last_receipt(spark, d):
-    return _run(state.stream_last_values(_stream(spark, d), "user_id", "ts", "event_id"), "stream_last_receipt", "complete")
+    return sink.finished(state.stream_last_values(_stream(spark, d), "user_id", "ts", "event_id"), "stream_last_receipt", "complete")
 
 
 @query(ORACLE_SQL["download_window"])
 def stream_download_window(spark, d):
     e = _stream(spark, d)
     pairs = state.stream_within(e.where("event_type = 'click'"), e.where("event_type = 'view'"), "user_id", "ts", HOUR)
-    return _run(pairs, "stream_download_window", "append").select("opener", "closer")
+    return sink.finished(pairs, "stream_download_window", "append").select("opener", "closer")
 
 
 @query(ORACLE_SQL["rate_limit"])
 def stream_rate_limit(spark, d):
-    return _run(state.stream_capture_delays(_stream(spark, d), "user_id", "ts"), "stream_rate_limit", "append").select("event_id", "delay_ms")
+    return sink.finished(state.stream_capture_delays(_stream(spark, d), "user_id", "ts"), "stream_rate_limit", "append").select("event_id", "delay_ms")

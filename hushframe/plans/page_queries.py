@@ -151,7 +151,14 @@ def greedy_match_text(spark, d):
     return both.select("page_id", hit.alias("tp"), (F.size("predicted") - hit).alias("fp"), (F.size("gold") - hit).alias("fn"))
 
 
-@query()
+# By page the gold boxes that each prediction could take, best first, in order of the predictions.
+@query(f"""WITH {B}, c AS (SELECT p.page_id, p.score, p.ord, list(g.ord ORDER BY -{iou('p', 'g')}, g.ord) AS fits FROM b p JOIN b g ON g.page_id = p.page_id
+      AND g.side = 'O' AND p.side = 'F' AND g.cls = p.cls AND {iou('p', 'g')} >= 0.5 GROUP BY ALL),
+   l AS (SELECT page_id, list(fits ORDER BY score DESC, ord) AS ps FROM c GROUP BY page_id),
+   u AS (SELECT page_id, list_reduce(list_prepend([CAST(0 AS INT)], ps), lambda a, x: list_append(a, coalesce(list_filter(x, lambda o: NOT list_contains(a, o))[1], -1))) AS used FROM l),
+   t AS (SELECT page_id, CAST(len(list_filter(used, lambda o: o > 0)) AS BIGINT) AS tp FROM u)
+   SELECT n.page_id, coalesce(tp, 0) AS tp, CAST(p - coalesce(tp, 0) AS BIGINT) AS fp, CAST(g - coalesce(tp, 0) AS BIGINT) AS fn
+   FROM (SELECT page_id, count_if(side = 'F') AS p, count_if(side = 'O') AS g FROM b GROUP BY page_id) n LEFT JOIN t USING (page_id)""")
 def greedy_match_boxes(spark, d):
     b = boxes(spark, d)
     both = b.groupBy("page_id").agg(
@@ -325,16 +332,22 @@ def micro_rollup(spark, d):
     return metrics.per_class_and_micro(rows).select("cls", "tp", "fp", "fn")
 
 
-@query(f"""WITH {B} SELECT page_id, ord FROM b WHERE role <> 'link' AND NOT (role = 'text' AND (page_id + ord) % 3 = 0)""")
+def _dom_blind(percent):
+    return f"""WITH {B} SELECT page_id, ord FROM b WHERE role <> 'link' AND NOT (role = 'text' AND CAST('0x' || md5(page_id || '/' || ord)[1:8] AS BIGINT) % 100 < {percent})"""
+
+
+def _without_links(spark, d):
+    return boxes(spark, d).withColumn("tag", F.when(F.col("role") == "link", "img").otherwise("div"))
+
+
+@query(_dom_blind(70))
 def dom_blind_variant(spark, d):
-    b = boxes(spark, d)
-    return b.where(~(F.col("role") == "link") & ~((F.col("role") == "text") & ((F.col("page_id") + F.col("ord")) % 3 == 0))).select("page_id", "ord")
+    return dom_blind(_without_links(spark, d), 70).select("page_id", "ord")
 
 
-@query()
+@query(_dom_blind(34))
 def dom_blind_hashed(spark, d):
-    b = boxes(spark, d).withColumn("tag", F.when(F.col("role") == "link", "img").otherwise("div"))
-    return dom_blind(b).select("page_id", "ord")
+    return dom_blind(_without_links(spark, d)).select("page_id", "ord")
 
 
 @query(f"""WITH {B}, c AS (SELECT * FROM (VALUES ('L1', ['A', 'N']), ('L1+L2', ['A', 'N', 'R'])) AS t(config, flags)),

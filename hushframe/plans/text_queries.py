@@ -239,7 +239,13 @@ def generated_text_scores(spark, d):
     return metrics.per_class_and_micro(matched.select(F.explode(F.concat(hits, extra)).alias("x")).select("x.*"))
 
 
-@query()
+_MIXED = f"((id + {7 * 7919}) % 1000003 * 48271 + {7 * 104729 + 11}) % 2147483647"
+
+
+@query(f"""WITH p AS (SELECT unnest(range((SELECT greatest(48, count(*) // 100) FROM orders))) AS id),
+   f AS (SELECT ['scholarship', 'hr', 'health', 'municipal', 'banking', 'transport'][({_MIXED}) * 16807 % 2147483647 // 7 % 6 + 1] AS family FROM p),
+   c AS (SELECT unnest({[*corpus.FIELDS]} || [NULL]) AS cls)
+   SELECT family, CASE WHEN family IN ('scholarship', 'hr') THEN 'dev' ELSE 'test' END AS split, cls, count(*) AS n FROM f, c GROUP BY ALL""")
 def generated_portals(spark, d):
     n = max(48, table(spark, d, "orders").count() // 100)
     return corpus.visual_pages(spark, n).groupBy("family", "split", "cls").agg(F.count("*").alias("n"))
