@@ -151,24 +151,37 @@ def greedy_match_text(spark, d):
     return both.select("page_id", hit.alias("tp"), (F.size("predicted") - hit).alias("fp"), (F.size("gold") - hit).alias("fn"))
 
 
-# By page the gold boxes that each prediction could take, best first, in order of the predictions.
-@query(f"""WITH {B}, c AS (SELECT p.page_id, p.score, p.ord, list(g.ord ORDER BY -{iou('p', 'g')}, g.ord) AS fits FROM b p JOIN b g ON g.page_id = p.page_id
+def _taken(order):
+    """By page the gold boxes that each prediction could take, best first, in order of the predictions."""
+    return f"""WITH {B}, c AS (SELECT p.page_id, p.score, p.ord, list(g.ord ORDER BY -{iou('p', 'g')}, g.ord) AS fits FROM b p JOIN b g ON g.page_id = p.page_id
       AND g.side = 'O' AND p.side = 'F' AND g.cls = p.cls AND {iou('p', 'g')} >= 0.5 GROUP BY ALL),
-   l AS (SELECT page_id, list(fits ORDER BY score DESC, ord) AS ps FROM c GROUP BY page_id),
+   l AS (SELECT page_id, list(fits ORDER BY {order}) AS ps FROM c GROUP BY page_id),
    u AS (SELECT page_id, list_reduce(list_prepend([CAST(0 AS INT)], ps), lambda a, x: list_append(a, coalesce(list_filter(x, lambda o: NOT list_contains(a, o))[1], -1))) AS used FROM l),
    t AS (SELECT page_id, CAST(len(list_filter(used, lambda o: o > 0)) AS BIGINT) AS tp FROM u)
    SELECT n.page_id, coalesce(tp, 0) AS tp, CAST(p - coalesce(tp, 0) AS BIGINT) AS fp, CAST(g - coalesce(tp, 0) AS BIGINT) AS fn
-   FROM (SELECT page_id, count_if(side = 'F') AS p, count_if(side = 'O') AS g FROM b GROUP BY page_id) n LEFT JOIN t USING (page_id)""")
-def greedy_match_boxes(spark, d):
+   FROM (SELECT page_id, count_if(side = 'F') AS p, count_if(side = 'O') AS g FROM b GROUP BY page_id) n LEFT JOIN t USING (page_id)"""
+
+
+def _matched_boxes(spark, d, by_score):
     b = boxes(spark, d)
     both = b.groupBy("page_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("side") == "O", F.struct("ord", "cls", "box")))).alias("gold"),
         F.array_sort(F.collect_list(F.when(F.col("side") == "F", F.struct("score", "ord", "cls", "box")))).alias("predicted"),
     )
-    hit = F.size(F.filter(folds.best_overlap(F.col("predicted"), F.col("gold")), lambda u: u > 0)).cast("bigint")
+    hit = F.size(F.filter(folds.best_overlap(F.col("predicted"), F.col("gold"), by_score=by_score), lambda u: u > 0)).cast("bigint")
     return both.select("page_id", hit.alias("tp"), (F.size("predicted") - hit).alias("fp"), (F.size("gold") - hit).alias("fn"))
 
 
+@query(_taken("score DESC, ord"))
+def greedy_match_boxes(spark, d):
+    return _matched_boxes(spark, d, True)
+
+
+@query(_taken("ord"))
+def greedy_match_plan(spark, d):
+    return _matched_boxes(spark, d, False)
+
+
 def _px(where):
     return f"""SELECT page_id, sum(CAST(dx AS BIGINT) * dy) AS px FROM (SELECT x.page_id, x.v AS x1, x.w - x.v AS dx, y.v AS y1, y.w - y.v AS dy
       FROM xs x JOIN ys y USING (page_id) WHERE x.w IS NOT NULL AND y.w IS NOT NULL AND EXISTS
@@ -350,13 +363,40 @@ def dom_blind_hashed(spark, d):
     return dom_blind(_without_links(spark, d)).select("page_id", "ord")
 
 
-@query(f"""WITH {B}, c AS (SELECT * FROM (VALUES ('L1', ['A', 'N']), ('L1+L2', ['A', 'N', 'R'])) AS t(config, flags)),
-   x AS (SELECT config, page_id, count(*) AS n FROM b, c WHERE list_contains(flags, CASE cls WHEN 'AADHAAR' THEN 'A' WHEN 'ADDRESS' THEN 'N' ELSE 'R' END) GROUP BY ALL)
-   SELECT config, count(*) AS pages, CAST(sum(n) AS BIGINT) AS items FROM x GROUP BY config""")
+def _layer_inputs(spark, d):
+    """Elements, of which every second has a number and every fourth a sentence with two names, and detections: every
+    third an image, the others chips with an address in them."""
+    b = boxes(spark, d).withColumn("tag", F.lit("div")).withColumn("input_type", F.lit(None).cast("string"))
+    pan = F.concat(F.lit("ABCDE"), F.lpad((F.col("page_id") % 10000).cast("string"), 4, "0"), F.lit("F"))
+    text = F.when(F.col("ord") % 2 == 0, pan).when(F.col("ord") % 4 == 1, "Handed to Ravi Verma and then to Asha Nair today").otherwise("")
+    kind = F.when(F.col("ord") % 3 == 0, "image_region").otherwise("value_chip")
+    return b.withColumn("text", text).drop("cls"), b.withColumn("cls", kind).withColumn("ocr_text", F.lit("ravi@example.org"))
+
+
+_BOX = "x1, y1, x2, y2"
+_LAYERS = f"""{B},
+   l1 AS (SELECT page_id, ord, 1 AS rank, 'PAN' AS cls, 'blackout' AS mode, 'L1' AS layer, 'dom-label+regex' AS src, CAST(NULL AS VARCHAR) AS span, 0 AS st, {_BOX} FROM b WHERE ord % 2 = 0),
+   l2 AS (SELECT page_id, ord, 5 AS rank, 'PERSON' AS cls, 'token' AS mode, 'L2' AS layer, 'heuristic-person' AS src, n.span, n.st, {_BOX} FROM b, (VALUES ('Ravi Verma', 1), ('Asha Nair', 2)) n(span, st)
+      WHERE ord % 4 = 1 AND NOT EXISTS (SELECT 1 FROM l1 p WHERE p.page_id = b.page_id AND p.x1 = b.x1 AND p.y1 = b.y1 AND p.x2 = b.x2 AND p.y2 = b.y2)),
+   ds AS (SELECT page_id, ord, 5 AS rank, CASE WHEN ord % 3 = 0 THEN 'PHOTO' ELSE 'EMAIL' END AS cls, CASE WHEN ord % 3 = 0 THEN 'blur' ELSE 'token' END AS mode, 'L3' AS layer,
+      CASE WHEN ord % 3 = 0 THEN 'vision-image-region' ELSE 'vision-ocr' END AS src, CAST(NULL AS VARCHAR) AS span, 0 AS st, {_BOX} FROM b)"""
+#: The plan that stays of ``it``: items of all configurations.
+_STAYS = f"""l AS (SELECT config, page_id, list({{'cls': cls, 'mode': mode, 'layer': layer, 'src': src, 'span': span, 'ord': ord, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY rank, layer, ord, st) AS bs FROM it GROUP BY ALL),
+   k AS (SELECT config, page_id, list_reduce(list_transform(bs, lambda x: [x]), lambda a, e: CASE WHEN len(list_filter(a, lambda k: {_K(iou('q', 'e'))} > 0.55)) > 0 THEN a ELSE list_concat(a, e) END) AS kept FROM l),
+   z AS (SELECT config, page_id, CAST(unnest(range(len(kept))) AS INT) AS place, unnest(kept) AS x FROM k)"""
+
+
+@query(f"""WITH {_LAYERS}, it AS (SELECT c.config, i.* FROM (VALUES ('L1', 'L1'), ('L1+L2', 'L2'), ('L1+L2+L3', 'L3')) c(config, last)
+      JOIN (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM ds) i ON i.layer <= c.last), {_STAYS}
+   SELECT config, page_id, place, x.cls AS cls, x.mode AS mode, x.layer AS layer, x.src AS src, x.span AS span, x.ord AS ord FROM z""")
 def layer_ablation(spark, d):
-    configs = spark.createDataFrame([("L1", ["AADHAAR", "ADDRESS"]), ("L1+L2", ["AADHAAR", "ADDRESS", "PERSON"])], "config string, classes array<string>")
-    on = boxes(spark, d).crossJoin(F.broadcast(configs)).where(F.array_contains("classes", F.col("cls")))
-    return on.groupBy("config", "page_id").agg(F.count("*").alias("n")).groupBy("config").agg(F.count("*").alias("pages"), F.sum("n").alias("items"))
+    """The plan of each page with one layer, two and all three."""
+    e, dets = _layer_inputs(spark, d)
+    out = None
+    for on in (("L1",), ("L1", "L2"), ("L1", "L2", "L3")):
+        plan = layers.build_plan(e, dets, layers=on).select(F.lit("+".join(on)).alias("config"), "page_id", "place", "cls", "mode", "layer", "src", "span", "ord")
+        out = plan if out is None else out.union(plan)
+    return out
 
 
 @query("""WITH e AS (SELECT vec_id, embedding v, list_max(embedding[5:9]) s FROM embeddings),
@@ -393,10 +433,14 @@ def goal_scores(spark, d):
     return table(spark, d, "part").select("p_partkey", goal_score(terms(F.lit("small ring of my red bolts")), terms(F.concat_ws(" ", "p_name", "p_type"))).alias("score"))
 
 
-@query()
+@query(f"""WITH {_LAYERS}, p AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2),
+   s AS (SELECT d.* REPLACE (CASE WHEN cls = 'EMAIL' THEN 'vision-ocr-escalated' ELSE src END AS src) FROM ds d
+      WHERE CASE WHEN cls = 'PHOTO' THEN NOT EXISTS (SELECT 1 FROM b i WHERE i.page_id = d.page_id AND i.ord <> d.ord AND i.x1 >= d.x1 - 2 AND i.y1 >= d.y1 - 2 AND i.x2 <= d.x2 + 2 AND i.y2 <= d.y2 + 2)
+         AND NOT EXISTS (SELECT 1 FROM p WHERE p.page_id = d.page_id AND {cover('d', 'p')} > 0.8)
+      ELSE NOT EXISTS (SELECT 1 FROM b t WHERE t.page_id = d.page_id AND t.ord % 4 <> 3 AND {cover('d', 't')} > 0.5) END),
+   it AS (SELECT '' AS config, * FROM p UNION ALL SELECT '', * FROM s), {_STAYS}
+   SELECT page_id, place, x.cls AS cls, x.mode AS mode, x.layer AS layer, x.src AS src, x.span AS span, x.ord AS ord FROM z""")
 def selective_plan(spark, d):
     """All layers over made-up elements and detections, selectively: structure first, pixels where it is blind."""
-    b = boxes(spark, d).withColumn("tag", F.lit("div")).withColumn("input_type", F.lit(None).cast("string"))
-    e = b.withColumn("text", F.when(F.col("ord") % 2 == 0, F.concat(F.lit("ABCDE"), F.lpad(F.col("page_id") % 10000, 4, "0"), F.lit("F"))).otherwise(""))
-    dets = b.withColumn("cls", F.when(F.col("ord") % 3 == 0, "image_region").otherwise("value_chip")).withColumn("ocr_text", F.lit("ravi@example.org"))
-    return layers.build_plan(e.drop("cls"), dets, selective=True).select("page_id", "place", "cls", "mode", "layer", "src")
+    e, dets = _layer_inputs(spark, d)
+    return layers.build_plan(e, dets, selective=True).select("page_id", "place", "cls", "mode", "layer", "src", "span", "ord")
