@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hushframe.functions.bind import let
+
 
 def box(x1, y1, x2, y2) -> Column:
     return F.struct(*(F.expr(v).alias(n) if isinstance(v, str) else v.alias(n) for v, n in zip((x1, y1, x2, y2), ("x1", "y1", "x2", "y2"))))
@@ -67,27 +69,25 @@ def holds(b: Column, x: Column, y: Column) -> Column:
 
 
 def union_area(boxes: Column) -> Column:
-    """Pixels in any of an array of boxes, exactly: cells between all edges, each counted once if some box holds it."""
-    edges = lambda lo, hi: F.array_sort(F.array_distinct(F.concat(F.transform(boxes, lambda b: b[lo]), F.transform(boxes, lambda b: b[hi]))))
-    spans = lambda e: F.transform(
-        F.slice(e, 1, F.greatest(F.size(e) - 1, F.lit(0))), lambda v, i: F.struct(v.alias("lo"), F.get(e, i + 1).alias("hi"))
-    )
-    add = lambda a, v: a + v
-    cells = F.transform(
-        spans(edges("x1", "x2")),
-        lambda x: F.aggregate(
-            F.transform(
-                spans(edges("y1", "y2")),
-                lambda y: F.when(
-                    F.exists(boxes, lambda b: (b["x1"] <= x["lo"]) & (x["hi"] <= b["x2"]) & (b["y1"] <= y["lo"]) & (y["hi"] <= b["y2"])),
-                    (x["hi"] - x["lo"]).cast("bigint") * (y["hi"] - y["lo"]),
-                ).otherwise(F.lit(0).cast("bigint")),
-            ),
-            F.lit(0).cast("bigint"),
-            add,
-        ),
-    )
-    return F.aggregate(cells, F.lit(0).cast("bigint"), add)
+    """Pixels in any of an array of boxes, exactly: slabs between all vertical edges, in each of which the boxes are
+    walked from the top down. Edges and boxes are sorted once."""
+    sides = F.concat(F.transform(boxes, lambda b: b["x1"]), F.transform(boxes, lambda b: b["x2"]))
+    downward = F.array_sort(F.transform(boxes, lambda b: F.struct(b["y1"].alias("y1"), b["y2"].alias("y2"), b["x1"].alias("x1"), b["x2"].alias("x2"))))
+    none = F.struct(F.lit(0).cast("bigint").alias("px"), F.lit(-(2**31)).alias("upto"))
+
+    def height(inside: Column) -> Column:
+        step = lambda s, b: F.struct(
+            (s["px"] + F.greatest(F.lit(0), b["y2"] - F.greatest(s["upto"], b["y1"]))).alias("px"),
+            F.greatest(s["upto"], b["y2"]).alias("upto"),
+        )
+        return F.aggregate(inside, none, step)["px"]
+
+    def slabs(x: Column) -> Column:
+        starts = F.slice(x["edges"], 1, F.greatest(F.size(x["edges"]) - 1, F.lit(0)))
+        slab = lambda lo, hi: (hi - lo) * height(F.filter(x["boxes"], lambda b: (b["x1"] <= lo) & (hi <= b["x2"])))
+        return F.aggregate(F.transform(starts, lambda lo, i: slab(lo, F.get(x["edges"], i + 1))), F.lit(0).cast("bigint"), lambda a, v: a + v)
+
+    return let(F.struct(F.array_sort(F.array_distinct(sides)).alias("edges"), downward.alias("boxes")), slabs)
 
 
 def clipped(b: Column, width: int, height: int) -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions import rules
+from hushframe.functions.bind import let
 from hushframe.functions.geometry import area, coverage, near, rebased
 from hushframe.functions.text import goal_score, terms
 from hushframe.operators.spatial import first_agreement
@@ -13,12 +14,11 @@ GOAL, ACT, CONFIDENCE, SENSITIVE = 1.2, 0.25, 0.2, 0.8
 
 
 def _flag(items: DataFrame, plan: DataFrame, threshold: float, name: str) -> DataFrame:
-    """Whether one plan item of the page covers more than the threshold of an item."""
-    p = plan.select(F.col("page_id").alias("_page"), F.col("box").alias("_box"))
-    hit = items.select("page_id", "ord", "box").join(
-        p, (F.col("page_id") == F.col("_page")) & (coverage(F.col("box"), F.col("_box")) > threshold), "left_semi"
-    )
-    return items.join(hit.select("page_id", "ord", F.lit(True).alias(name)), ["page_id", "ord"], "left").fillna(False, [name])
+    """Whether one plan item of the page covers more than the threshold of an item: a page's plan is one array, so that
+    items are joined once."""
+    masks = plan.groupBy("page_id").agg(F.collect_list("box").alias("_masks"))
+    hit = F.exists("_masks", lambda m: coverage(F.col("box"), m) > threshold)
+    return items.join(masks, "page_id", "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop("_masks")
 
 
 def scored_regions(elements: DataFrame, goals: DataFrame, detections: DataFrame, plan: DataFrame) -> DataFrame:
@@ -39,22 +39,26 @@ def selected_context(scored: DataFrame, width: Column, height: Column, pad: int
     near one of them. Without any the mode is minimal-empty and the crop one pixel; a padded crop of over ``full`` of
     the view is the full view.
     """
-    direct = scored.where("relevance > 0 AND NOT sensitive")
-    d = direct.select(F.col("page_id").alias("_page"), F.col("box").alias("_box"))
-    around = scored.where("relevance = 0 AND NOT sensitive AND NOT actionable").join(
-        d, (F.col("page_id") == F.col("_page")) & near(F.col("box"), F.col("_box")), "left_semi"
-    )
-    keep = direct.unionByName(around)
     # Stable by score: relevant regions before those around them, in element order.
-    best = F.struct((-F.col("score")).alias("s"), (F.col("relevance") == 0).alias("late"), "ord", F.substring(F.when(F.coalesce("label", F.lit("")) != "", F.col("label")).otherwise(F.coalesce("text", F.lit(""))), 1, 40).alias("label"), "score")
+    label = F.substring(F.when(F.coalesce("label", F.lit("")) != "", F.col("label")).otherwise(F.coalesce("text", F.lit(""))), 1, 40)
+    region = F.struct((-F.col("score")).alias("s"), (F.col("relevance") == 0).alias("late"), "ord", label.alias("label"), "score", "box", (F.col("relevance") > 0).alias("direct"), "actionable")
+
+    def kept(regions: Column) -> Column:
+        around = lambda direct: F.filter(regions, lambda x: x["late"] & ~x["actionable"] & F.exists(direct, lambda t: near(x["box"], t["box"])))
+        return let(F.filter(regions, lambda x: x["direct"]), lambda direct: F.concat(direct, around(direct)))
+
+    # One pass: the regions of a page are one array. Sensitive ones are counted, but not collected.
+    open_ = F.collect_list(F.when(~F.col("sensitive"), region))
+    out = scored.groupBy("page_id").agg(F.count("*").alias("considered"), open_.alias("_open")).withColumn("_kept", kept(F.col("_open")))
+    side = lambda name, pick: pick(F.transform("_kept", lambda x: x["box"][name])).alias(name)
     half_up = lambda c: F.floor(c + F.lit(0.5)).cast("int")
-    one = keep.groupBy("page_id").agg(
-        F.count("*").alias("kept"),
-        F.min("box.x1").alias("x1"), F.min("box.y1").alias("y1"), F.max("box.x2").alias("x2"), F.max("box.y2").alias("y2"),
-        F.array_sort(F.collect_list("ord")).alias("selected_ids"),
-        F.slice(F.array_sort(F.collect_list(best)), 1, 5).alias("_top"),
+    out = out.select(
+        "page_id", "considered",
+        F.when(F.size("_kept") > 0, F.size("_kept").cast("bigint")).alias("kept"),
+        side("x1", F.array_min), side("y1", F.array_min), side("x2", F.array_max), side("y2", F.array_max),
+        F.array_sort(F.transform("_kept", lambda x: x["ord"])).alias("selected_ids"),
+        F.slice(F.array_sort(F.transform("_kept", lambda x: F.struct(*(x[c].alias(c) for c in ("s", "late", "ord", "label", "score"))))), 1, 5).alias("_top"),
     )
-    out = scored.groupBy("page_id").agg(F.count("*").alias("considered")).join(one, "page_id", "left")
     zero = F.lit(0)
     crop = F.struct(
         F.greatest(zero, half_up(F.col("x1") - pad)).alias("x1"),
@@ -76,12 +80,12 @@ def selected_context(scored: DataFrame, width: Column, height: Column, pad: int
         .alias("crop"),
         F.coalesce("kept", F.lit(0).cast("bigint")).alias("kept"),
         "considered",
-        F.coalesce("selected_ids", F.array().cast("array<int>")).alias("selected_ids"),
+        "selected_ids",
         F.when(F.col("mode") == "minimal-empty", 1 / F.greatest(F.lit(1).cast("bigint"), whole))
         .when(F.col("mode") == "full-view", F.lit(1.0))
         .otherwise(share / whole)
         .alias("pixel_fraction"),
-        F.transform(F.coalesce("_top", F.array().cast("array<struct<s:double,late:boolean,ord:int,label:string,score:double>>")), lambda x: F.struct(x["label"].alias("label"), x["score"].alias("score"))).alias("top"),
+        F.transform("_top", lambda x: F.struct(x["ord"].alias("ord"), x["label"].alias("label"), x["score"].alias("score"))).alias("top"),
     )
 
 
@@ -89,8 +93,11 @@ def safe_metadata(elements: DataFrame, plan: DataFrame, selection: DataFrame, li
     """What the planner may see: selected, enabled controls in document order, at most ``limit`` of a page.
 
     Labels of controls that a plan item covers by over 0.35 are redacted; others are cut to 60 characters. Boxes are
-    relative to the crop, which stays on the page in shot_box.
+    relative to the crop, which stays on the page in shot_box. Options of a control are disclosed where elements have
+    a column of them, and null otherwise.
     """
+    if "options" not in elements.columns:
+        elements = elements.withColumn("options", F.lit(None).cast("array<string>"))
     controls = elements.where(F.col("role").isin(*rules.ACTIONABLE) & F.coalesce("enabled", F.lit(True)))
     chosen = controls.join(selection.select("page_id", "crop", "selected_ids"), "page_id").where(F.array_contains("selected_ids", F.col("ord")))
     chosen = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy("ord"))).where(F.col("_n") <= limit)
@@ -105,5 +112,6 @@ def safe_metadata(elements: DataFrame, plan: DataFrame, selection: DataFrame, li
         rebased(F.col("box"), F.col("crop")).alias("box"),
         "sensitive",
         F.coalesce("same_origin", F.lit(False)).alias("same_origin"),
+        "options",
         F.col("box").alias("shot_box"),
     )

@@ -51,10 +51,9 @@ def nearby(items: DataFrame, targets: DataFrame, gap: int = 120, page: str = "pa
 
 def first_agreement(items: DataFrame, detections: DataFrame, threshold: float = 0.4, page: str = "page_id") -> DataFrame:
     """Adds confidence: the score of the first detection (by ord) that overlaps an item by more; 0 without one."""
-    d = detections.select(F.col(page).alias("_page"), F.col("ord").alias("_ord"), F.col("box").alias("_box"), F.col("score").alias("_score"))
-    joined = items.select(page, "ord", "box").join(d, (F.col(page) == F.col("_page")) & (iou(F.col("box"), F.col("_box")) > threshold))
-    first = joined.groupBy(page, "ord").agg(F.min_by("_score", "_ord").alias("confidence"))
-    return items.join(first, [page, "ord"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    seen = detections.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("ord", "box", "score"))).alias("_seen"))
+    first = F.get(F.filter("_seen", lambda s: iou(F.col("box"), s["box"]) > threshold), 0)["score"]
+    return items.join(seen, page, "left").withColumn("confidence", F.coalesce(first, F.lit(0.0))).drop("_seen")
 
 
 def at_point(points: DataFrame, elements: DataFrame, page: str = "page_id") -> DataFrame:

@@ -224,7 +224,7 @@ GOAL = "Please download my income certificate"
 _SCORED = f"""WITH {B}, gg AS (SELECT {duck_terms(f"'{GOAL}'")} AS gt), j AS (SELECT e.page_id, e.ord, min(p.ord) AS f FROM b e JOIN b p ON p.page_id = e.page_id
     AND p.side = 'F' AND {iou('e', 'p')} > 0.4 GROUP BY ALL),
   sc AS (SELECT e.*, CAST({duck_hits('gt', duck_terms("e.label || ' '"))} AS DOUBLE) / len(gt) AS u, e.role <> 'text' AS act, coalesce(p.score, 0.0) AS conf,
-         EXISTS (SELECT 1 FROM b s WHERE s.page_id = e.page_id AND s.cls = 'AADHAAR' AND s.ord <> e.ord AND {cover('e', 's')} > 0.5) AS sens
+         EXISTS (SELECT 1 FROM b s WHERE s.page_id = e.page_id AND s.cls = 'AADHAAR' AND {cover('e', 's')} > 0.5) AS sens
     FROM gg, b e LEFT JOIN j ON j.page_id = e.page_id AND j.ord = e.ord LEFT JOIN b p ON p.page_id = j.page_id AND p.ord = j.f),
   r AS (SELECT *, u * 1.2::DOUBLE + CAST(act AS INT) * 0.25::DOUBLE + conf * 0.2::DOUBLE - CAST(sens AS INT) * 0.8::DOUBLE AS score2 FROM sc)"""
 
@@ -232,13 +232,7 @@ _SCORED = f"""WITH {B}, gg AS (SELECT {duck_terms(f"'{GOAL}'")} AS gt), j AS (SE
 def _scored(spark, d):
     b = boxes(spark, d).withColumn("text", F.lit(""))
     goals = b.select("page_id").distinct().withColumn("goal", F.lit(GOAL))
-    others = b.where("cls = 'AADHAAR'")
-    e = context.scored_regions(b.drop("score"), goals, b.where("side = 'F'"), others.limit(0))
-    # A region isn't hidden by itself.
-    m = others.select(F.col("page_id").alias("_p"), F.col("ord").alias("_o"), F.col("box").alias("_b"))
-    hidden = e.select("page_id", "ord", "box").join(m, (F.col("page_id") == F.col("_p")) & (F.col("ord") != F.col("_o")) & (g.coverage(F.col("box"), F.col("_b")) > 0.5), "left_semi")
-    e = e.drop("sensitive").join(hidden.select("page_id", "ord", F.lit(True).alias("sensitive")), ["page_id", "ord"], "left").fillna(False, ["sensitive"])
-    return e.withColumn("score", F.col("score") - F.col("sensitive").cast("int") * context.SENSITIVE)
+    return context.scored_regions(b.drop("score"), goals, b.where("side = 'F'"), b.where("cls = 'AADHAAR'"))
 
 
 @query(_SCORED + " SELECT page_id, ord, u AS relevance, act AS actionable, conf AS confidence, sens AS sensitive, score2 AS score FROM r")
@@ -267,11 +261,7 @@ def crop_selection(spark, d):
 @query(_SCORED + _KEEP + """ SELECT page_id, ord, n FROM (SELECT page_id, ord, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score2 DESC, u = 0, ord) AS INT) AS n FROM kp) WHERE n <= 5""")
 def top5_regions(spark, d):
     s = context.selected_context(_scored(spark, d), F.lit(1280), F.lit(720))
-    ranked = _scored(spark, d).join(s.select("page_id", "selected_ids"), "page_id").where(F.array_contains("selected_ids", F.col("ord")))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("page_id").orderBy(F.desc("score"), F.col("relevance") == 0, "ord")
-    return ranked.select("page_id", "ord", F.row_number().over(w).alias("n")).where("n <= 5")
+    return s.select("page_id", F.posexplode("top").alias("at", "x")).select("page_id", "x.ord", (F.col("at") + 1).alias("n"))
 
 
 @query(_SCORED + _KEEP + f""", ch AS (SELECT e.*, f.x1 AS ox, f.y1 AS oy, row_number() OVER (PARTITION BY e.page_id ORDER BY e.ord) AS n FROM b e JOIN fin f USING (page_id)

@@ -98,6 +98,42 @@ def stream_capture_delays(events: DataFrame, key: str, ts: str, gap: int = CAPTU
     )
 
 
+def stream_served(events: DataFrame, key: str, ts: str, id_: str, opens: str, most: int, once: bool) -> DataFrame:
+    """Confirmations and expiry on a stream: key, opener and closer of each closer that an opener serves.
+
+    ``opens`` says of each event whether it opens (an action that waits, a proof) or closes (a confirmation, a read). A
+    closer is served by the last opener of its key before it or at the same time, if that is at most ``most``
+    milliseconds ago; with ``once`` an opener serves its first closer only. Of each key only the last opener is kept,
+    until watermarks pass its time.
+    """
+
+    def serve(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at, opener, done = state.get if state.exists else (0, None, False)
+        rows = pd.concat(list(batches))
+        rows = rows.assign(closes=~rows["opens"].astype(bool)).sort_values(["ms", "closes", "id"])
+        out = []
+        for now, event, closes in zip(rows["ms"], rows["id"], rows["closes"]):
+            if not closes:
+                at, opener, done = int(now), int(event), False
+            elif opener is not None and now - at <= most and not (once and done):
+                out.append((k[0], opener, event))
+                done = True
+        if opener is not None:
+            state.update((at, opener, done))
+            state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs()) + most)
+        if out:
+            yield pd.DataFrame(out, columns=[key, "opener", "closer"])
+
+    e = events.withWatermark(ts, "10 minutes")
+    opening = F.coalesce(F.col(opens), F.lit(False)).alias("opens")
+    e = e.select(key, ts, F.col(id_).cast("long").alias("id"), opening, F.unix_millis(ts).alias("ms"))
+    rows, kept = f"{key} long, opener long, closer long", "at long, opener long, done boolean"
+    return e.groupBy(key).applyInPandasWithState(serve, rows, kept, "append", "EventTimeTimeout")
+
+
 def stage_of(event: DataFrame) -> DataFrame:
     """Adds stage from the fields of a step's events, in the order in which a step goes through its stages."""
     c = F.col
