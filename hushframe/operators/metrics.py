@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushframe.functions.geometry import clipped, intersection, union_area
+from hushframe.functions.geometry import clipped, union_area
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -36,15 +36,6 @@ def exposure(pages: DataFrame, raw: str, clean: str, *by: str) -> DataFrame:
     return out.withColumn("ratio", ratio(F.col("clean_bytes"), F.col("raw_bytes")))
 
 
-def indexed_p95(value: str) -> Column:
-    """The value at place max(1, floor(0.95 n)) of those sorted, without interpolation.
-
-    By counts of equal values would scale further; here the values of one group are sorted, as of one configuration.
-    """
-    x = F.array_sort(F.collect_list(value))
-    return F.element_at(x, F.greatest(F.lit(1), F.floor(F.size(x) * 0.95).cast("int")))
-
-
 def latency(samples: DataFrame, by: str, page: str, order: list[str], value: str, warm: int = 0) -> DataFrame:
     """n, median and p95 by group, without the first ``warm`` samples of each page.
 
@@ -99,6 +90,3 @@ def weakest(scores: DataFrame, n: int = 3) -> DataFrame:
 def summary(samples: DataFrame) -> DataFrame:
     """Of rows (rss_mb, cpu_ms, ocr_calls) the peak and the means."""
     return samples.agg(F.max("rss_mb").alias("peak_mb"), F.avg("cpu_ms").alias("cpu_ms"), F.avg("ocr_calls").alias("ocr_per_page"))
-
-
-__all__ = ["exposure", "indexed_p95", "intersection", "latency", "leakage", "masked_pixels", "per_class_and_micro", "prf", "ratio", "summary", "target_visible", "weakest"]

@@ -38,10 +38,16 @@ def rate_limit(spark, d):
 HOUR = 3_600_000
 
 
-@query(f"""WITH {E}, p AS (SELECT p.event_id AS id, c.event_id AS c, c.ms AS cms, row_number() OVER (PARTITION BY c.event_id ORDER BY p.ms DESC, p.event_id DESC) AS k
+#: The first confirmation of each click that got one in time.
+_CONFIRMED = f"""WITH {E}, p AS (SELECT p.event_id AS id, c.event_id AS c, c.ms AS cms, row_number() OVER (PARTITION BY c.event_id ORDER BY p.ms DESC, p.event_id DESC) AS k
       FROM e p JOIN e c ON c.user_id = p.user_id AND c.event_type = 'purchase' AND c.ms BETWEEN p.ms AND p.ms + 6 * {HOUR} WHERE p.event_type = 'click'),
-   f AS (SELECT id, arg_min(c, {{'a': cms, 'b': c}}) AS confirmed_by FROM p WHERE k = 1 GROUP BY id)
-   SELECT event_id, coalesce(confirmed_by, -1) AS confirmed_by FROM e LEFT JOIN f ON f.id = e.event_id WHERE event_type = 'click'""")
+   f AS (SELECT id, arg_min(c, {{'a': cms, 'b': c}}) AS confirmed_by FROM p WHERE k = 1 GROUP BY id)"""
+#: By view the last signup before it, if it has not expired.
+_PROVED = f"""WITH {E}, s AS (SELECT r.event_id, p.event_id AS proof, row_number() OVER (PARTITION BY r.event_id ORDER BY p.ms DESC, p.event_id DESC) AS k
+      FROM e r JOIN e p ON p.user_id = r.user_id AND p.event_type = 'signup' AND r.ms BETWEEN p.ms AND p.ms + 12 * {HOUR} WHERE r.event_type = 'view')"""
+
+
+@query(_CONFIRMED + " SELECT event_id, coalesce(confirmed_by, -1) AS confirmed_by FROM e LEFT JOIN f ON f.id = e.event_id WHERE event_type = 'click'")
 def pending_confirm(spark, d):
     e = events(spark, d).select("event_id", "user_id", "ms", "event_type")
     return state.confirmed(e.where("event_type = 'click'"), e.where("event_type = 'purchase'"), ["user_id"], "ms", "event_id", 6 * HOUR).select("event_id", F.coalesce("confirmed_by", F.lit(-1)).alias("confirmed_by"))
@@ -55,9 +61,7 @@ def download_window(spark, d):
     return pairs.select(F.col("event_id").alias("opener"), F.col("closer.event_id").alias("closer"))
 
 
-@query(f"""WITH {E}, s AS (SELECT r.event_id, p.event_id AS proof, row_number() OVER (PARTITION BY r.event_id ORDER BY p.ms DESC, p.event_id DESC) AS k
-      FROM e r JOIN e p ON p.user_id = r.user_id AND p.event_type = 'signup' AND r.ms BETWEEN p.ms AND p.ms + 12 * {HOUR} WHERE r.event_type = 'view')
-   SELECT e.event_id, coalesce(proof, -1) AS proof FROM e LEFT JOIN s ON s.event_id = e.event_id AND k = 1 WHERE event_type = 'view'""")
+@query(_PROVED + " SELECT e.event_id, coalesce(proof, -1) AS proof FROM e LEFT JOIN s ON s.event_id = e.event_id AND k = 1 WHERE event_type = 'view'")
 def proof_expiry(spark, d):
     e = events(spark, d).select("event_id", "user_id", "ms", "event_type")
     return state.unexpired(e.where("event_type = 'signup'"), e.where("event_type = 'view'"), "user_id", "ms", "event_id", 12 * HOUR).select("event_id", F.coalesce("proof", F.lit(-1)).alias("proof"))
@@ -104,3 +108,22 @@ def stream_download_window(spark, d):
 @query(ORACLE_SQL["rate_limit"])
 def stream_rate_limit(spark, d):
     return sink.finished(state.stream_capture_delays(_stream(spark, d), "user_id", "ts"), "stream_rate_limit", "append").select("event_id", "delay_ms")
+
+
+def _served(spark, d, opener, closer, hours, once):
+    e = _stream(spark, d).where(F.col("event_type").isin(opener, closer)).withColumn("opens", F.col("event_type") == opener)
+    return state.stream_served(e, "user_id", "ts", "event_id", "opens", hours * HOUR, once)
+
+
+@query(_CONFIRMED + " SELECT id AS event_id, confirmed_by FROM f")
+def stream_pending_confirm(spark, d):
+    """The clicks that were confirmed in time, and by what."""
+    served = sink.finished(_served(spark, d, "click", "purchase", 6, True), "stream_pending_confirm", "append")
+    return served.select(F.col("opener").alias("event_id"), F.col("closer").alias("confirmed_by"))
+
+
+@query(_PROVED + " SELECT event_id, proof FROM s WHERE k = 1")
+def stream_proof_expiry(spark, d):
+    """The views with a proof that had not expired."""
+    served = sink.finished(_served(spark, d, "signup", "view", 12, False), "stream_proof_expiry", "append")
+    return served.select(F.col("closer").alias("event_id"), F.col("opener").alias("proof"))
