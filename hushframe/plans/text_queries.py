@@ -251,7 +251,32 @@ def generated_portals(spark, d):
     return corpus.visual_pages(spark, n).groupBy("family", "split", "cls").agg(F.count("*").alias("n"))
 
 
-@query()
+def _duck_tokenised() -> str:
+    """One step for each class, as each looks at what the one before it has written."""
+    steps, last = ["s0 AS (SELECT conv_id, turn, text || CASE turn % 4 WHEN 1 THEN ' ask a.b@example.org' WHEN 2 THEN ' EMP12345 and ABCDE1234F, ABCDE1234G' WHEN 3 THEN ' +91 9876543210 on 01/02/1990' ELSE '' END AS text FROM conversations)"], "s0"
+    for i, (cls, pattern) in enumerate(rules.FORMATS["browser"], 1):
+        valid = ""
+        if cls == "AADHAAR":
+            plain = "regexp_replace(substr(text, CAST(x.s AS INT) + 1, CAST(x.e - x.s AS INT)), '[^0-9]', '', 'g')"
+            valid = f" WHERE {_duck_verhoeff(plain, 12, 0)} = 0"
+        steps.append(f"p{i} AS (SELECT conv_id, turn, text, unnest({duck_spans('sh', pattern)}) AS x FROM (SELECT *, {SHADOW} AS sh FROM {last}))")
+        steps.append(
+            f"""r{i} AS (SELECT conv_id, turn, x.s AS s, x.e AS e, row_number() OVER (PARTITION BY conv_id, turn ORDER BY x.s) AS n,
+            lag(x.e, 1, 0) OVER (PARTITION BY conv_id, turn ORDER BY x.s) AS since, text FROM p{i}{valid})"""
+        )
+        steps.append(
+            f"""s{i} AS (SELECT t.conv_id, t.turn, CASE WHEN g.o IS NULL THEN t.text ELSE g.o || substr(t.text, CAST(g.e AS INT) + 1) END AS text FROM {last} t LEFT JOIN
+            (SELECT conv_id, turn, max(e) AS e, string_agg(substr(text, CAST(since AS INT) + 1, CAST(s - since AS INT)) || '[{cls}_' || n || ']', '' ORDER BY s) AS o FROM r{i} GROUP BY ALL) g
+            ON g.conv_id = t.conv_id AND g.turn = t.turn)"""
+        )
+        last = f"s{i}"
+    return f"WITH {', '.join(steps)} SELECT conv_id, turn, text FROM {last}"
+
+
+@query(_duck_tokenised())
 def tokenise_goals(spark, d):
-    """All shapes of the browser profile as numbered tokens."""
-    return text.tokenised(table(spark, d, "conversations").select("conv_id", "turn", "text"), "text")
+    """All shapes of the browser profile as numbered tokens, of turns to most of which something personal is added."""
+    more = F.when(F.col("turn") % 4 == 1, " ask a.b@example.org").when(F.col("turn") % 4 == 2, " EMP12345 and ABCDE1234F, ABCDE1234G")
+    more = more.when(F.col("turn") % 4 == 3, " +91 9876543210 on 01/02/1990").otherwise("")
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.concat("text", more).alias("text"))
+    return text.tokenised(turns, "text")
