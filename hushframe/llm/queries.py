@@ -14,7 +14,9 @@ from hushframe.llm import (
     neighbours,
     pii,
     quality,
+    search,
     secrets,
+    sharding,
     simhash,
 )
 
@@ -63,6 +65,14 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_ranked_search(spark, sf_dir):
+    return search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_hilbert_sharding(spark, sf_dir):
+    return sharding.shards_of_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +86,8 @@ QUERIES = {
         op8_mix_sources,
         op9_simhash_near_dedup,
         op10_benchmark_decontamination,
+        op12_ranked_search,
+        op13_hilbert_sharding,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -101,5 +113,7 @@ ORACLE_SQL = {
     FROM w LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)""",
 }
 
+ORACLE_SQL["op12_ranked_search"] = search.SQL
+ORACLE_SQL["op13_hilbert_sharding"] = sharding.SQL
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
