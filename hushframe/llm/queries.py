@@ -12,6 +12,7 @@ from hushframe.llm import (
     line_dedup,
     mixing,
     neighbours,
+    phrases,
     pii,
     quality,
     search,
@@ -65,6 +66,10 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_phrase_mining(spark, sf_dir):
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark, sf_dir):
     return search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -86,6 +91,7 @@ QUERIES = {
         op8_mix_sources,
         op9_simhash_near_dedup,
         op10_benchmark_decontamination,
+        op11_phrase_mining,
         op12_ranked_search,
         op13_hilbert_sharding,
     )
@@ -113,6 +119,7 @@ ORACLE_SQL = {
     FROM w LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)""",
 }
 
+ORACLE_SQL["op11_phrase_mining"] = phrases.SQL
 ORACLE_SQL["op12_ranked_search"] = search.SQL
 ORACLE_SQL["op13_hilbert_sharding"] = sharding.SQL
 if corpus_pipeline.ORACLE_SQL:
