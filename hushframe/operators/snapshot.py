@@ -65,8 +65,11 @@ def enabled(disabled: Column, aria_disabled: Column) -> Column:
 
 
 def origin(url: Column) -> Column:
-    """scheme://host[:port] of an http or https address; null for others."""
-    return F.nullif(F.lower(F.regexp_extract(url, r"^(?i:(https?://[^/?#]+))", 1)), F.lit(""))
+    """scheme://host[:port] of an http or https address, without user info and the scheme's own port; null for others."""
+    part = lambda k: F.lower(F.regexp_extract(url, r"^\s*(?i:(https?)://(?:[^/?#@]*@)*([^/?#:@\[\]\s]+|\[[0-9A-Fa-f:.]+\])(?::0*(\d*))?(?=[/?#\s]|$))", k))
+    scheme, port = part(1), part(3)
+    usual = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+    return F.when(scheme != "", F.concat(scheme, F.lit("://"), part(2), F.when(usual, "").otherwise(F.concat(F.lit(":"), port))))
 
 
 def same_origin(target: Column, page_url: Column) -> Column:
