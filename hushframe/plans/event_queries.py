@@ -1,9 +1,12 @@
 """Queries on time: latencies, rate limits, confirmations, expiry, downloads; and the same on streams."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hushframe.operators import metrics
 from hushframe.plans.inputs import events
+from hushframe.sources.staging import shared_folder, staged
 from hushframe.streaming import sink, state
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -87,32 +90,46 @@ def stage_trace(spark, d):
     return state.stage_of(e).groupBy("stage").agg(F.count("*").alias("n"))
 
 
+#: How far events are out of order in the streams below, and what streams wait for.
+JITTER, LATE = 36 * HOUR, "2 days"
+
+
 def _stream(spark, d):
-    source = spark.read.parquet(f"{d}/events.parquet")
-    files = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
-    return files.withColumn("ts", F.col("ts").cast("timestamp"))
+    """The events as a stream of files that arrive one after the other, each event up to JITTER late; at the end a row
+    without an event tells that later times have come."""
+    e = events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    e = staged(e.withColumn("_late", F.col("ms") + F.pmod(F.xxhash64("event_id"), F.lit(JITTER))), "stream-events")
+    ends = e.agg(F.min("_late").alias("a"), F.max("_late").alias("b")).first()
+    folder = f"{shared_folder(spark)}/stream-in-{uuid.uuid4().hex}"
+    turn = F.least(F.floor((F.col("_late") - F.lit(ends["a"] or 0)) * 5 / F.lit(max(1, (ends["b"] or 0) - (ends["a"] or 0)))), F.lit(4))
+    rows = e.withColumn("_turn", turn)
+    for k in range(5):
+        rows.where(F.col("_turn") == k).drop("_turn", "_late").write.mode("append").parquet(folder)
+    tick = e.agg(F.timestamp_millis(F.max("ms") + 3 * 24 * HOUR).alias("ts")).select(*((F.col(c) if c == "ts" else F.lit(None)).cast(t).alias(c) for c, t in e.drop("_late").dtypes))
+    tick.write.mode("append").parquet(folder)
+    return spark.readStream.schema(e.drop("_late").schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 @query(ORACLE_SQL["last_receipt"])
 def stream_last_receipt(spark, d):
-    return sink.finished(state.stream_last_values(_stream(spark, d), "user_id", "ts", "event_id"), "stream_last_receipt", "complete")
+    return sink.finished(state.stream_last_values(_stream(spark, d).where("event_id IS NOT NULL"), "user_id", "ts", "event_id"), "stream_last_receipt", "complete")
 
 
 @query(ORACLE_SQL["download_window"])
 def stream_download_window(spark, d):
     e = _stream(spark, d)
-    pairs = state.stream_within(e.where("event_type = 'click'"), e.where("event_type = 'view'"), "user_id", "ts", HOUR)
+    pairs = state.stream_within(e.where("event_type = 'click'"), e.where("event_type = 'view'"), "user_id", "ts", HOUR, LATE)
     return sink.finished(pairs, "stream_download_window", "append").select("opener", "closer")
 
 
 @query(ORACLE_SQL["rate_limit"])
 def stream_rate_limit(spark, d):
-    return sink.finished(state.stream_capture_delays(_stream(spark, d), "user_id", "ts"), "stream_rate_limit", "append").select("event_id", "delay_ms")
+    return sink.finished(state.stream_capture_delays(_stream(spark, d), "user_id", "ts", late=LATE), "stream_rate_limit", "append").select("event_id", "delay_ms")
 
 
 def _served(spark, d, opener, closer, hours, once):
-    e = _stream(spark, d).where(F.col("event_type").isin(opener, closer)).withColumn("opens", F.col("event_type") == opener)
-    return state.stream_served(e, "user_id", "ts", "event_id", "opens", hours * HOUR, once)
+    e = _stream(spark, d).where(F.col("event_type").isin(opener, closer) | F.col("event_type").isNull()).withColumn("opens", F.col("event_type") == opener)
+    return state.stream_served(e, "user_id", "ts", "event_id", "opens", hours * HOUR, once, LATE)
 
 
 @query(_CONFIRMED + " SELECT id AS event_id, confirmed_by FROM f")
@@ -127,3 +144,39 @@ def stream_proof_expiry(spark, d):
     """The views with a proof that had not expired."""
     served = sink.finished(_served(spark, d, "signup", "view", 12, False), "stream_proof_expiry", "append")
     return served.select(F.col("closer").alias("event_id"), F.col("opener").alias("proof"))
+
+
+#: Clicks put an action into a user's slot, purchases take it, errors deny it; tokens change every half day.
+_SLOT = {
+    "kind": "CASE event_type WHEN 'click' THEN 'put' WHEN 'purchase' THEN 'take' WHEN 'error' THEN 'deny' END",
+    "token": f"CAST(floor(ms / {12 * HOUR}) AS STRING)",
+    "tab": "CASE WHEN event_id % 6 = 0 THEN 'other' ELSE 'tab' END",
+    "origin": "CASE WHEN event_id % 7 = 0 THEN 'https://b.org' ELSE 'https://a.org' END",
+}
+_SLOTS = f"""WITH {E}, s AS (SELECT event_id, user_id, ms, {', '.join(f'{x} AS {n}' for n, x in _SLOT.items())} FROM e WHERE event_type IN ('click', 'purchase', 'error')),
+   p AS (SELECT *, last_value(CASE WHEN kind = 'put' THEN {{'id': event_id, 'ms': ms, 'token': token, 'tab': tab, 'origin': origin}} END IGNORE NULLS)
+                   OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM s),
+   k AS (SELECT *, p.token IS NOT NULL AND token = p.token AND (kind = 'deny' OR (ms - p.ms <= 6 * {HOUR} AND tab = p.tab AND origin = p.origin)) AND kind <> 'put' AS ends FROM p),
+   g AS (SELECT k.*, EXISTS (SELECT 1 FROM k b WHERE b.user_id = k.user_id AND b.p.id = k.p.id AND b.ends AND (b.ms < k.ms OR (b.ms = k.ms AND b.event_id < k.event_id))) AS gone FROM k),
+   v AS (SELECT event_id, kind, p, CASE WHEN p.id IS NULL OR gone OR token <> p.token THEN CASE kind WHEN 'deny' THEN 'ignored' ELSE 'confirmation token expired or invalid' END
+         WHEN kind = 'deny' THEN 'denied' WHEN ms - p.ms > 6 * {HOUR} THEN 'confirmation expired' WHEN tab <> p.tab THEN 'confirmation belongs to a different tab'
+         WHEN origin <> p.origin THEN 'tab origin changed after confirmation request' ELSE 'ok' END AS verdict FROM g WHERE kind <> 'put')
+   SELECT event_id, kind, CASE WHEN verdict IN ('ok', 'denied') THEN p.id ELSE -1 END AS action, verdict FROM v"""
+
+
+def _slots(e):
+    return e.withColumns({n: F.expr(x) for n, x in _SLOT.items()})
+
+
+@query(_SLOTS)
+def pending_actions(spark, d):
+    """Confirmations and denials of a user's pending action: what each of them does, and why not."""
+    e = _slots(events(spark, d).select("event_id", "user_id", "ms", "event_type")).where("kind IS NOT NULL")
+    return state.pending_actions(e, "user_id", "ms", "event_id", 6 * HOUR).select("event_id", "kind", F.coalesce("action", F.lit(-1)).alias("action"), "verdict")
+
+
+@query(_SLOTS)
+def stream_pending_actions(spark, d):
+    e = _slots(_stream(spark, d)).where("kind IS NOT NULL OR event_id IS NULL")
+    done = sink.finished(state.stream_pending_actions(e, "user_id", "ts", "event_id", 6 * HOUR, LATE), "stream_pending_actions", "append")
+    return done.select("event_id", "kind", F.coalesce("action", F.lit(-1)).alias("action"), "verdict")

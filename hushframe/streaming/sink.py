@@ -2,41 +2,48 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hushframe.sources.staging import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the checkpoint folder of the context; a local session without either gets a temporary
-    one, any other session an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='hushframe-')}")
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    """Lists and timers in state need RocksDB. A stream reads the setting as it starts; afterwards it is as it was."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
 
 
 def finished(df: DataFrame, name: str, mode: str) -> DataFrame:
     """Runs the stream to the end of what is there, and returns the table that it wrote.
 
     State and progress lie beside the rows, so that a lost executor costs a retry of its tasks. In mode append the
-    file sink commits each batch once; in mode complete each batch replaces the one before it.
+    file sink commits each batch once; in mode complete each batch replaces the one before it. A stream without input
+    gives an empty table.
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     rows = f"{folder}/rows"
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
     if mode == "complete":
+        spark.createDataFrame([], df.schema).write.parquet(rows)
         writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(rows))
     else:
         writer = writer.format("parquet").option("path", rows)
-    q = writer.start()
-    try:
-        q.awaitTermination()
-    finally:
-        q.stop()
+    with _rocksdb(spark):
+        q = writer.start()
+        try:
+            q.awaitTermination()
+        finally:
+            q.stop()
     return spark.read.schema(df.schema).parquet(rows)

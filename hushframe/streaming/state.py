@@ -1,21 +1,22 @@
 """State over time: rate limits, actions that wait for confirmation, expiry, last values, download windows.
 
-Each has a batch form over a table of events and a streaming form over a stream of them. Event times must be
-TIMESTAMP (not NTZ) on streams, as watermarks need.
+Each has a batch form over a table of events and a streaming form over a stream of them that gives the same rows, also
+where events arrive out of order. Event times must be TIMESTAMP (not NTZ) on streams, as watermarks need.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 CAPTURE_GAP_MS = 550
 CONFIRM_MS = 2 * 60 * 1000
 PROOF_MS = 10 * 60 * 1000
 DOWNLOAD_MS = 3500
+#: For state that stays until it is overwritten.
+FOREVER = 1 << 52
 
 
 def capture_delays(events: DataFrame, key: str, ms: str, order: str, gap: int = CAPTURE_GAP_MS) -> DataFrame:
@@ -73,65 +74,187 @@ def stream_within(openers: DataFrame, closers: DataFrame, key: str, ts: str, ms:
     return a.join(b, F.expr(f"{key} = _k AND closed >= opened AND closed <= opened + interval {ms} milliseconds")).drop("_k")
 
 
-def stream_capture_delays(events: DataFrame, key: str, ts: str, gap: int = CAPTURE_GAP_MS) -> DataFrame:
-    """The rate limit on a stream: the last time of each key is kept until ten times the gap has gone by."""
+# Why a confirmation is turned down.
+UNKNOWN, OVERDUE = "confirmation token expired or invalid", "confirmation expired"
+OTHER_TAB, OTHER_ORIGIN = "confirmation belongs to a different tab", "tab origin changed after confirmation request"
 
-    def delays(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values([ts, "event_id"])
-        out = []
-        for at, event in zip(rows[ts], rows["event_id"]):
-            now = int(at.timestamp() * 1000)
-            out.append((k[0], event, max(0, gap - (now - last)) if last is not None else 0))
-            last = now
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 10 * gap)
-        yield pd.DataFrame(out, columns=[key, "event_id", "delay_ms"])
-
-    return (
-        events.withWatermark(ts, "10 minutes")
-        .groupBy(key)
-        .applyInPandasWithState(delays, f"{key} long, event_id long, delay_ms long", "last long", "append", "EventTimeTimeout")
+
+def pending_actions(events: DataFrame, key: str, ms: str, id_: str, most: int = CONFIRM_MS) -> DataFrame:
+    """Of each take and deny (kind, token, tab, origin beside key, time and id): action, the put that it serves or removes,
+    and verdict.
+
+    A key has one slot: a put overwrites it. A take serves the put in it if token, tab and origin are the put's own and
+    it is at most ``most`` milliseconds old, and empties the slot: ``ok``, taken once. A deny of that token empties it:
+    ``denied``. A take that is turned down says why and leaves the slot as it is; a deny of another token is ``ignored``.
+    Events are ordered by time, then id. Null tokens, tabs and origins match nothing.
+    """
+    order = Window.partitionBy(key).orderBy(ms, id_)
+    put = F.last(F.when(F.col("kind") == "put", F.struct(id_, ms, "token", "tab", "origin")), ignorenulls=True).over(order)
+    same = lambda c: F.coalesce(F.col(c) == F.col(f"_put.{c}"), F.lit(False))
+    e = events.withColumn("_put", put)
+    young = F.col(ms) - F.col(f"_put.{ms}") <= most
+    fits = same("token") & young & same("tab") & same("origin")
+    e = e.withColumn("_ends", ((F.col("kind") == "take") & fits) | ((F.col("kind") == "deny") & same("token")))
+    earlier = Window.partitionBy(key, F.col(f"_put.{id_}")).orderBy(ms, id_).rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("_gone", F.coalesce(F.max("_ends").over(earlier), F.lit(False)))
+    known = F.col("_put").isNotNull() & same("token") & ~F.col("_gone")
+    verdict = (
+        F.when(F.col("kind") == "deny", F.when(known, "denied").otherwise("ignored"))
+        .when(~known, UNKNOWN)
+        .when(~young, OVERDUE)
+        .when(~same("tab"), OTHER_TAB)
+        .when(~same("origin"), OTHER_ORIGIN)
+        .otherwise("ok")
     )
+    e = e.withColumn("verdict", verdict).withColumn("action", F.when(F.col("verdict").isin("ok", "denied"), F.col(f"_put.{id_}")))
+    return e.where("kind IN ('take', 'deny')").drop("_put", "_ends", "_gone")
+
 
+class InOrder(StatefulProcessor):
+    """Hands a key's events to a fold in the order of their times, however they arrive.
+
+    Events wait in list state until the watermark has passed them: nothing earlier can come any more. A timer of each
+    key stands at its first waiting event; when it fires, what is due is folded, and what the fold remembers goes to
+    value state, for ``keep`` milliseconds after the last event at least. ``step`` gets the memory (a tuple, or None at
+    first) and an event (time, id and further fields), and returns the new memory and rows to add after the key.
+    """
+
+    def __init__(self, step, event: str, memory: str, out: list[str], keep: int):
+        self.step, self.event, self.memory, self.out, self.keep = step, event, memory, out, keep
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.event)
+        self.held = handle.getValueState("held", self.memory)
+        self.clock = handle.getValueState("clock", "timer long, last long")
+
+    def _at(self, timer: int, last: int) -> None:
+        """One timer for the key, at the given time."""
+        old = self.clock.get()[0] if self.clock.exists() else 0
+        if old != timer:
+            if old:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(timer)
+        self.clock.update((timer, last))
+
+    def handleInputRows(self, key, rows, timerValues):
+        names = [f.split()[0] for f in self.event.split(", ")]
+        new = [tuple(None if pd.isna(v) else v for v in r) for batch in rows for r in batch[names].itertuples(index=False)]
+        new = [(int(r[0]), int(r[1]), *r[2:]) for r in new if r[1] is not None]  # an event without an id only tells the time
+        if new:
+            self.waiting.appendList(new)
+            timer, last = self.clock.get() if self.clock.exists() else (0, 0)
+            first = min(r[0] for r in new) + 1
+            self._at(first if not timer else min(first, timer), last)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        _, last = self.clock.get()
+        self.clock.update((0, last))
+        events = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2])
+        due, rest = [r for r in events if r[0] <= now], [r for r in events if r[0] > now]
+        memory = tuple(self.held.get()) if self.held.exists() else None
+        out = []
+        for event in due:
+            memory, rows = self.step(memory, event)
+            out += [(*key, *r) for r in rows]
+            last = event[0]
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        if memory is not None:
+            self.held.update(memory)
+        if rest:
+            self._at(rest[0][0] + 1, last)
+        elif last + self.keep >= now:
+            self._at(last + self.keep + 1, last)
+        else:
+            self.held.clear()
+            self.clock.clear()
+        if out:
+            yield pd.DataFrame(out, columns=self.out)
 
-def stream_served(events: DataFrame, key: str, ts: str, id_: str, opens: str, most: int, once: bool) -> DataFrame:
+    def close(self) -> None:
+        pass
+
+
+def in_order(events: DataFrame, key: str, ts: str, id_: str, late: str, step, more: dict[str, str], memory: str, rows: str, keep: int) -> DataFrame:
+    """events through an InOrder fold: ``more`` names further fields of an event with their types, ``rows`` what the fold
+    returns. Events up to ``late`` behind the latest one seen count; older ones are dropped. Needs the RocksDB state store
+    (``streaming.sink.finished`` sets it)."""
+    kind = dict(events.dtypes)[key]
+    e = events.withWatermark(ts, late).select(key, ts, F.unix_millis(ts).alias("ms"), F.col(id_).cast("long").alias("id"), *more)
+    event = ", ".join(["ms long", "id long", *(f"{n} {t}" for n, t in more.items())])
+    fold = InOrder(step, event, memory, [key, *(r.split()[0] for r in rows.split(", "))], keep)
+    return e.groupBy(key).transformWithStateInPandas(fold, f"{key} {kind}, {rows}", "Append", "EventTime")
+
+
+def stream_capture_delays(events: DataFrame, key: str, ts: str, id_: str = "event_id", gap: int = CAPTURE_GAP_MS, late: str = "10 minutes") -> DataFrame:
+    """The rate limit on a stream, events in any order up to ``late``: key, event_id and delay_ms."""
+
+    def step(memory, event):
+        delay = max(0, gap - (event[0] - memory[0])) if memory else 0
+        return (event[0],), [(event[1], delay)]
+
+    return in_order(events, key, ts, id_, late, step, {}, "last long", "event_id long, delay_ms long", gap)
+
+
+def stream_served(events: DataFrame, key: str, ts: str, id_: str, opens: str, most: int, once: bool, late: str = "10 minutes") -> DataFrame:
     """Confirmations and expiry on a stream: key, opener and closer of each closer that an opener serves.
 
     ``opens`` says of each event whether it opens (an action that waits, a proof) or closes (a confirmation, a read). A
     closer is served by the last opener of its key before it or at the same time, if that is at most ``most``
-    milliseconds ago; with ``once`` an opener serves its first closer only. Of each key only the last opener is kept,
-    until watermarks pass its time.
+    milliseconds ago; with ``once`` an opener serves its first closer only. Events may come in any order up to ``late``.
     """
+    ordered = events.withColumn("opens", F.coalesce(F.col(opens), F.lit(False)))
+    # At equal times openers come first.
+    rank = F.col(id_).cast("long") + F.when(F.col("opens"), F.lit(-(2**62))).otherwise(F.lit(0)).cast("long")
+    ordered = ordered.withColumn("_rank", rank)
 
-    def serve(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        at, opener, done = state.get if state.exists else (0, None, False)
-        rows = pd.concat(list(batches))
-        rows = rows.assign(closes=~rows["opens"].astype(bool)).sort_values(["ms", "closes", "id"])
-        out = []
-        for now, event, closes in zip(rows["ms"], rows["id"], rows["closes"]):
-            if not closes:
-                at, opener, done = int(now), int(event), False
-            elif opener is not None and now - at <= most and not (once and done):
-                out.append((k[0], opener, event))
-                done = True
-        if opener is not None:
-            state.update((at, opener, done))
-            state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs()) + most)
-        if out:
-            yield pd.DataFrame(out, columns=[key, "opener", "closer"])
+    def step(memory, event):
+        at, opener, done = memory or (0, None, False)
+        ms, rank, opens_ = event
+        if opens_:
+            return (ms, rank + 2**62, False), []
+        if opener is not None and ms - at <= most and not (once and done):
+            return (at, opener, True), [(opener, rank)]
+        return (at, opener, done), []
+
+    return in_order(ordered, key, ts, "_rank", late, step, {"opens": "boolean"}, "at long, opener long, done boolean", "opener long, closer long", most)
+
+
+def stream_pending_actions(events: DataFrame, key: str, ts: str, id_: str, most: int = CONFIRM_MS, late: str = "10 minutes") -> DataFrame:
+    """``pending_actions`` on a stream, events in any order up to ``late``: key, id, kind, action and verdict."""
+
+    def step(memory, event):
+        ms, id__, kind, token, tab, origin = event
+        if kind == "put":
+            return (id__, ms, token, tab, origin, True), []
+        put, at, own_token, own_tab, own_origin, there = memory or (None, 0, None, None, None, False)
+        known = there and token is not None and token == own_token
+        if kind == "deny":
+            verdict = "denied" if known else "ignored"
+        elif not known:
+            verdict = UNKNOWN
+        elif ms - at > most:
+            verdict = OVERDUE
+        elif tab is None or tab != own_tab:
+            verdict = OTHER_TAB
+        elif origin is None or origin != own_origin:
+            verdict = OTHER_ORIGIN
+        else:
+            verdict = "ok"
+        ended = verdict in ("ok", "denied")
+        memory = (put, at, own_token, own_tab, own_origin, there and not ended)
+        return memory, [(id__, kind, put if ended else None, verdict)]
 
-    e = events.withWatermark(ts, "10 minutes")
-    opening = F.coalesce(F.col(opens), F.lit(False)).alias("opens")
-    e = e.select(key, ts, F.col(id_).cast("long").alias("id"), opening, F.unix_millis(ts).alias("ms"))
-    rows, kept = f"{key} long, opener long, closer long", "at long, opener long, done boolean"
-    return e.groupBy(key).applyInPandasWithState(serve, rows, kept, "append", "EventTimeTimeout")
+    more = {"kind": "string", "token": "string", "tab": "string", "origin": "string"}
+    held = "put long, at long, token string, tab string, origin string, there boolean"
+    e = events.where("kind IS NULL OR kind IN ('put', 'take', 'deny')")
+    # A slot that nobody empties holds its put: a take says that it came too late, not that it is unknown.
+    return in_order(e, key, ts, id_, late, step, more, held, "event_id long, kind string, action long, verdict string", FOREVER)
 
 
 def stage_of(event: DataFrame) -> DataFrame:
