@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hushframe.operators import metrics
 from hushframe.plans.inputs import events
 from hushframe.sources.staging import shared_folder, staged
+from hushframe.sources.versions import KeyedTable
 from hushframe.streaming import sink, state
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -180,3 +181,11 @@ def stream_pending_actions(spark, d):
     e = _slots(_stream(spark, d)).where("kind IS NOT NULL OR event_id IS NULL")
     done = sink.finished(state.stream_pending_actions(e, "user_id", "ts", "event_id", 6 * HOUR, LATE), "stream_pending_actions", "append")
     return done.select("event_id", "kind", F.coalesce("action", F.lit(-1)).alias("action"), "verdict")
+
+
+@query(f"WITH {E} SELECT user_id, event_type, arg_max(event_id, {{'a': ms, 'b': event_id}}) AS last_id, arg_max(value, {{'a': ms, 'b': event_id}}) AS value FROM e GROUP BY ALL")
+def stream_upsert(spark, d):
+    """The last event of each user and type, merged batch by batch into a keyed table as they arrive out of order."""
+    e = _stream(spark, d).where("event_id IS NOT NULL").select("user_id", "event_type", "ms", F.col("event_id").alias("last_id"), "value")
+    table = KeyedTable(spark, f"{shared_folder(spark)}/last-events-{uuid.uuid4().hex}", e.schema, ["user_id", "event_type"], ["ms", "last_id"], buckets=8)
+    return sink.upserted(e, "stream_upsert", table).read().select("user_id", "event_type", "last_id", "value")

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushframe.sources.versions import KeyedTable
+
 BOX = "struct<x1:int,y1:int,x2:int,y2:int>"
 ELEMENT = "tag string, role string, rect array<int>, text string, label string, input_type string, autocomplete string"
 SNAPSHOT = f"width int, height int, family string, split string, dom_blind boolean, elements array<struct<{ELEMENT.replace(' ', ':', 1).replace(', ', ',').replace(' ', ':')}>>"
@@ -56,15 +58,8 @@ def write_results(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def upsert_results(df: DataFrame, path: str, keys: list[str], new_path: str) -> DataFrame:
-    """Results at path with those of the same keys replaced by df's, written to new_path (a table is never overwritten
-    while it is read)."""
-    spark = df.sparkSession
-    try:
-        old = spark.read.schema(df.schema).json(path)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        old = df.limit(0)
-    old.join(df.select(*keys).distinct(), keys, "left_anti").unionByName(df).write.mode("overwrite").json(new_path)
-    return spark.read.schema(df.schema).json(new_path)
+def upsert_results(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """The results at path with those of the same keys replaced by df's; readers see all of the change or none of it."""
+    table = KeyedTable(df.sparkSession, path, df.schema, keys)
+    table.upsert(df)
+    return table.read()

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from hushframe.sources.staging import shared_folder
+from hushframe.sources.versions import KeyedTable
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -40,10 +42,42 @@ def finished(df: DataFrame, name: str, mode: str) -> DataFrame:
         writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(rows))
     else:
         writer = writer.format("parquet").option("path", rows)
+    _ended(spark, writer)
+    return spark.read.schema(df.schema).parquet(rows)
+
+
+def _ended(spark: SparkSession, writer) -> None:
     with _rocksdb(spark):
         q = writer.start()
         try:
             q.awaitTermination()
         finally:
             q.stop()
-    return spark.read.schema(df.schema).parquet(rows)
+
+
+def each_batch(df: DataFrame, name: str, parts: Callable[[DataFrame], dict[str, DataFrame]], schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """Runs the stream to the end of what is there; each batch is taken apart into named tables, which are returned.
+
+    A batch writes a folder of its own in each table, in place of what it may have written before it was interrupted: a
+    batch that runs again changes nothing. schemas: of each table.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for part, schema in schemas.items():
+        spark.createDataFrame([], schema).write.parquet(f"{folder}/{part}/batch=-1")
+
+    def write(batch: DataFrame, number: int) -> None:
+        for part, rows in parts(batch).items():
+            rows.write.mode("overwrite").parquet(f"{folder}/{part}/batch={number}")
+
+    _ended(spark, df.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(write))
+    return {part: spark.read.schema(schema).parquet(f"{folder}/{part}") for part, schema in schemas.items()}
+
+
+def upserted(df: DataFrame, name: str, table: KeyedTable) -> KeyedTable:
+    """Runs the stream to the end of what is there and merges each batch into the table, once, however often it runs."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    writer = df.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
+    _ended(spark, writer.foreachBatch(lambda batch, number: table.upsert(batch, folder, number) and None))
+    return table

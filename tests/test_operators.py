@@ -168,8 +168,8 @@ def test_snapshot_files_and_upsert(spark, tmp_path):
     assert [(r.page_id, r.ord, tuple(r.box), r.label) for r in e] == [("test_a", 0, (1, 2, 3, 4), None)]
     new = lambda v: spark.createDataFrame([("a", v)], "k string, v int")
     pages.write_results(new(1), str(tmp_path / "one"))
-    assert pages.upsert_results(new(2), str(tmp_path / "one"), ["k"], str(tmp_path / "two")).collect() == [("a", 2)]
-    assert pages.upsert_results(new(3), str(tmp_path / "none"), ["k"], str(tmp_path / "three")).collect() == [("a", 3)]
+    assert pages.upsert_results(new(2), str(tmp_path / "table"), ["k"]).collect() == [("a", 2)]
+    assert pages.upsert_results(new(3), str(tmp_path / "table"), ["k"]).collect() == [("a", 3)]
 
 
 def test_undisclosed_targets_stop(spark):
