@@ -53,8 +53,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Numbers:
-    """A number for each word: the rarer, the higher. Words of the dictionary have their places by frequency, others
-    their hash above these, or none if they are too rare to be in any phrase."""
+    """A number for each word of each language: the rarer, the higher. Words of the dictionary have their places by
+    frequency, others their hash above these, or none if they are too rare to be in any phrase."""
 
     BREAK = np.iinfo(np.int64).max
 
@@ -67,11 +67,9 @@ class Numbers:
         self.size, self.salt, self.slices = len(top), salt, slices
         self.bits = {k: np.frombuffer(v, np.uint8) for k, v in bits.items()}
 
-    def rare(self, word: bytes) -> int:
+    def rare(self, word: bytes, lang: bytes) -> int:
         """The number of a word outside the dictionary."""
-        if not self.slices:
-            return self.BREAK
-        h = xxhash.xxh64_intdigest(word + self.salt, 42)
+        h = xxhash.xxh64_intdigest(lang + b"\n" + word + self.salt, 42)
         spot = (h - (1 << 64) if h >> 63 else h) % (self.slices << 15)
         held = self.bits.get(spot >> 15)
         place = spot & 32767
@@ -83,7 +81,8 @@ class Numbers:
         get = self.words.get(lang, {}).get
         if not self.slices:
             return [get(w, self.BREAK) for w in words]
-        return [k if (k := get(w)) is not None else self.rare(w) for w in words]
+        own = lang.encode("utf-8", "surrogatepass")
+        return [k if (k := get(w)) is not None else self.rare(w, own) for w in words]
 
 
 SLOTS = [f"l{k}" for k in range(LONGEST - 1, 0, -1)] + ["pivot"] + [f"r{k}" for k in range(1, LONGEST)]
@@ -122,64 +121,136 @@ def combined(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fragments(docs: DataFrame, numbers: Numbers) -> DataFrame:
-    """lang, pivot, its neighbours (SLOTS; -1 where there is none), part, split and n of each fragment of docs; a pivot's
-    fragments are dealt out to as many parts as its frequency asks for (split: more than one)."""
+    """pivot, its neighbours (SLOTS; -1 where there is none), part and n of each fragment of docs; a pivot's fragments are
+    dealt out to as many parts as its frequency asks for."""
     shared = docs.sparkSession.sparkContext.broadcast(numbers)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
 
-        def chunk(lang: str, ids: list[int]) -> pd.DataFrame:
+        def chunk(ids: list[int]) -> pd.DataFrame:
             rows, n = combined(fragments_of(np.array(ids, np.int64)))
-            pivot = rows[:, LONGEST - 1]
-            parts = np.where(pivot < known.size, known.parts[np.minimum(pivot, len(known.parts) - 1)], 1)
             mixed = (rows * np.arange(1, 2 * LONGEST, dtype=np.int64) * 0x9E3779B1).sum(axis=1) >> 16
-            out = pd.DataFrame({c: rows[:, k] for k, c in enumerate(SLOTS)})
-            return out.assign(lang=lang, part=(mixed % parts).astype(np.int32), split=parts > 1, n=n)
+            part = mixed % parts_of(rows[:, LONGEST - 1], known.parts)
+            return pd.DataFrame({c: rows[:, k] for k, c in enumerate(SLOTS)}).assign(part=part.astype(np.int32), n=n)
 
-        held: dict[str, list[int]] = {}
-        total = 0
+        ids: list[int] = []
         for b in batches:
             for lang, text in zip(b["lang"], b["text"]):
                 lang = _lang(lang)
-                ids = held.setdefault(lang, [])
-                total -= len(ids)
                 for words in pieces_of(text):
                     if len(words) > 1:
                         ids += known.of(words, lang)
                         ids.append(Numbers.BREAK)
-                total += len(ids)
-                if total > CHUNK:
-                    for lang, ids in held.items():
-                        yield chunk(lang, ids)
-                    held, total = {}, 0
-        for lang, ids in held.items():
-            yield chunk(lang, ids)
-
-    schema = ", ".join([*(f"{c} long" for c in SLOTS), "lang string", "part int", "split boolean", "n long"])
+                if len(ids) > CHUNK:
+                    yield chunk(ids)
+                    ids = []
+        yield chunk(ids)
+
+    schema = ", ".join([*(f"{c} long" for c in SLOTS), "part int", "n long"])
     return docs.select(F.col("lang").cast("string"), "text").mapInPandas(cut, schema)
 
 
+def parts_of(pivots: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """In how many parts each pivot is counted: parts by number; words beyond the dictionary are rare enough for one."""
+    return np.where(pivots < len(parts), parts[np.minimum(pivots, len(parts) - 1)], 1)
+
+
 WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
 
 
-def mined(frags: DataFrame, least: int) -> DataFrame:
-    """lang, w1 to w4 (numbers; -1 beyond the phrase's end) and a of each n-gram of two words or more that occurs at
-    least so often. Fragments meet by pivot, and each gives those of its n-grams that hold it."""
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def counted(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows, the sum of n of each, and that sum for each row as given."""
+    key = np.zeros(len(rows), np.uint64)
+    for c in range(rows.shape[1]):
+        key = (key ^ rows[:, c].astype(np.uint64)) * _MIX
+        key ^= key >> np.uint64(29)
+    order = np.argsort(key, kind="stable")
+    new = np.append(True, (rows[order[1:]] != rows[order[:-1]]).any(axis=1))
+    if (new[1:] & (key[order[1:]] == key[order[:-1]])).any():
+        # Different rows share a hash: sort by what they hold.
+        order = np.lexsort(rows.T[::-1])
+        new = np.append(True, (rows[order[1:]] != rows[order[:-1]]).any(axis=1))
+    first = np.flatnonzero(new)
+    sums = np.add.reduceat(n[order], first)
+    each = np.empty(len(rows), np.int64)
+    each[order] = sums[np.cumsum(new) - 1]
+    return rows[order[first]], sums, each
+
+
+def grams_of(frags: np.ndarray, n: np.ndarray, whole: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams (LONGEST numbers, -1 beyond the end) that hold their fragment's pivot, and their occurrences.
+
+    Of pivots that are ``whole`` here only n-grams of at least so many occurrences: longer ones are looked for where
+    what they hold with the pivot was frequent. Of others all, as more of each may be counted elsewhere.
+    """
     side = LONGEST - 1
-    grams = []
-    for left in range(side + 1):
-        for right in range(side + 1 - left):
-            if left + right:
-                slots = SLOTS[side - left : side + right + 1]
-                words = [F.col(c) for c in slots] + [F.lit(-1).cast("bigint")] * (LONGEST - len(slots))
-                there = (F.col(slots[0]) >= 0) & (F.col(slots[-1]) >= 0)
-                grams.append(F.when(there, F.struct(*(w.alias(n) for w, n in zip(words, WORDS)))))
-    own = ["lang", "pivot", "part", "split"]
-    met = frags.repartition("lang", "pivot", "part").select(*own, "n", F.explode(F.array_compact(F.array(*grams))).alias("g"))
-    # Grouped within the partitions that fragments met in. What is split passes on each part's sum; the rest is whole.
-    met = met.select(*own, "n", "g.*").groupBy(*own, *WORDS).agg(F.sum("n").alias("a")).where((F.col("a") >= least) | F.col("split"))
-    return met.groupBy("lang", *WORDS).agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    frequent, found, times = {(0, 0): np.ones(len(frags), bool)}, [], []
+    for size in range(2, LONGEST + 1):
+        for left in range(size):
+            right = size - 1 - left
+            slots = slice(side - left, side + right + 1)
+            ok = (frags[:, slots.start] >= 0) & (frags[:, slots.stop - 1] >= 0)
+            for shorter in ((left - 1, right), (left, right - 1)):
+                if min(shorter) >= 0:
+                    ok &= frequent[shorter]
+            at = np.flatnonzero(ok)
+            mark = np.zeros(len(frags), bool)
+            if len(at):
+                rows, sums, each = counted(frags[at, slots], n[at])
+                mark[at] = (each >= least) | ~whole[at]
+                # A whole pivot's n-grams stand or fall together, so that the first row of each tells.
+                keep = (sums >= least) | ~whole_of(rows[:, left], frags[at, side], whole[at])
+                out = np.full((int(keep.sum()), LONGEST), -1, np.int64)
+                out[:, :size] = rows[keep]
+                found.append(out)
+                times.append(sums[keep])
+            frequent[left, right] = mark
+    if not found:
+        return np.zeros((0, LONGEST), np.int64), np.zeros(0, np.int64)
+    return np.concatenate(found), np.concatenate(times)
+
+
+def whole_of(pivots: np.ndarray, known: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """whole, which is given for pivots in ``known``, for each of ``pivots``."""
+    parted = np.unique(known[~whole])
+    return ~np.isin(pivots, parted) if len(parted) else np.ones(len(pivots), bool)
+
+
+def mined(frags: DataFrame, numbers: Numbers, least: int) -> DataFrame:
+    """w1 to w4 (numbers; -1 beyond the phrase's end) and a of each n-gram of two words or more that occurs at least so
+    often. Fragments meet by pivot, in order; whole pivots are counted together, some CHUNK fragments at once."""
+    shared = frags.sparkSession.sparkContext.broadcast(numbers.parts)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        rows = 0
+        for b in batches:
+            held.append(b.to_numpy(np.int64))
+            rows += len(b)
+            if rows >= CHUNK:
+                block = np.concatenate(held)
+                # The last pivot may go on in the next batch.
+                end = np.searchsorted(block[:, LONGEST - 1], block[-1, LONGEST - 1])
+                if end:
+                    yield table(block[:end])
+                held, rows = [block[end:]], len(block) - end
+        if rows:
+            yield table(np.concatenate(held))
+
+    def table(block: np.ndarray) -> pd.DataFrame:
+        frags_, n = block[:, :-1], block[:, -1]
+        whole = parts_of(frags_[:, LONGEST - 1], shared.value) == 1
+        grams, times = grams_of(frags_, n, whole, least)
+        return pd.DataFrame({w: grams[:, k] for k, w in enumerate(WORDS)}).assign(a=times)
+
+    met = frags.repartition("pivot", "part").sortWithinPartitions("pivot").select(*SLOTS, "n")
+    met = met.mapInPandas(count, ", ".join([*(f"{w} long" for w in WORDS), "a long"]))
+    # What whole pivots give is final; the parts of others add up.
+    return met.groupBy(*WORDS).agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
 def numbered(words: DataFrame, least: int, size: int) -> tuple[Numbers, DataFrame]:
@@ -210,9 +281,9 @@ def numbered(words: DataFrame, least: int, size: int) -> tuple[Numbers, DataFram
     others = words.where(~inside)
     salt = ""
     while True:
-        h = F.xxhash64(F.concat("word", F.lit(salt)))
+        h = F.xxhash64(F.concat("lang", F.lit("\n"), "word", F.lit(salt)))
         others = others.withColumns({"h": h, "w": F.shiftrightunsigned(h, 2) + len(top)})
-        same = others.groupBy("lang", "w").agg(F.count("*").alias("k"), F.max("f").alias("f"))
+        same = others.groupBy("w").agg(F.count("*").alias("k"), F.max("f").alias("f"))
         if not same.where((F.col("k") > 1) & (F.col("f") >= least)).limit(1).count():
             break
         salt += "\0"  # two words share a hash: all take another
@@ -256,31 +327,32 @@ def collocations(docs: DataFrame, least: int = 30, inside: tuple[int, int] = (80
     """
     words = staged(word_counts(docs), "phrase-words")
     numbers, names = numbered(words, least, dictionary)
-    found = staged(mined(fragments(docs, numbers), least), "phrase-found")
+    found = staged(mined(fragments(docs, numbers), numbers, least), "phrase-found")
 
     def inner(n: int) -> list[Column]:
         return [F.struct(*_slices(i, i + k - 1)) for k in range(2, n) for i in range(1, n - k + 2)] or [F.lit(None)]
 
     key = ["v1", "v2", "v3", "v4"]
     shape = "array<struct<v1:bigint,v2:bigint,v3:bigint,v4:bigint>>"
-    longer = found.where("w3 >= 0").select("lang", "a", F.explode(_of_sizes(inner).cast(shape)).alias("s")).groupBy("lang", "s").agg(F.max("a").alias("outer"))
-    longer = longer.select("lang", *(F.col(f"s.{v}").alias(w) for v, w in zip(key, WORDS)), "outer")
-    kept = found.join(longer, ["lang", *WORDS], "left")
+    longer = found.where("w3 >= 0").select("a", F.explode(_of_sizes(inner).cast(shape)).alias("s")).groupBy("s").agg(F.max("a").alias("outer"))
+    longer = longer.select(*(F.col(f"s.{v}").alias(w) for v, w in zip(key, WORDS)), "outer")
+    kept = found.join(longer, WORDS, "left")
     kept = kept.where(F.coalesce(F.col("outer") * inside[1] < F.col("a") * inside[0], F.lit(True))).drop("outer")
 
     def cuts(n: int) -> list[Column]:
         return [F.struct(F.lit(k).alias("k"), F.lit(s).alias("side"), *_slices(*span)) for k in range(1, n) for s, span in enumerate(((1, k), (k + 1, n)))]
 
-    asked = kept.select("lang", *WORDS, "a", F.explode(_of_sizes(cuts)).alias("c")).select("lang", *WORDS, "a", "c.*")
+    asked = kept.select(*WORDS, "a", F.explode(_of_sizes(cuts)).alias("c")).select(*WORDS, "a", "c.*")
     asked = staged(asked.withColumn("own", F.xxhash64(*WORDS)), "phrase-cuts")
     none = F.lit(-1).cast("bigint")
-    known = found.select("lang", *(F.col(w).alias(v) for v, w in zip(key, WORDS)), F.col("a").alias("f"))
-    known = known.unionByName(names.select("lang", F.col("w").alias("v1"), none.alias("v2"), none.alias("v3"), none.alias("v4"), "f"))
-    facts = staged(known.join(asked.groupBy("lang", *key).agg(F.count("*").alias("n")), ["lang", *key]), "phrase-facts")
-    have = joined(asked, facts, ["lang", *key], "own")
+    known = found.select(*(F.col(w).alias(v) for v, w in zip(key, WORDS)), F.col("a").alias("f"), F.lit(None).cast("string").alias("lang"))
+    known = known.unionByName(names.select(F.col("w").alias("v1"), none.alias("v2"), none.alias("v3"), none.alias("v4"), "f", "lang"))
+    facts = staged(known.join(asked.groupBy(*key).agg(F.count("*").alias("n")), key), "phrase-facts")
+    have = joined(asked, facts, key, "own")
     part = lambda k, side: F.max(F.when((F.col("k") == k) & (F.col("side") == side), F.col("f")))
     sides = [part(k, s).alias(f"f{k}{s}") for k in range(1, LONGEST) for s in (0, 1)]
-    have = have.groupBy("lang", *WORDS, "a").agg(*sides)
+    # The first word is a part of its own, and so its language is known.
+    have = have.groupBy(*WORDS, "a").agg(F.max("lang").alias("lang"), *sides)
     score = lambda k: F.expr(f"cast((cast(a as decimal(20, 0)) * 2000000) div (f{k}0 + f{k}1) as bigint)")
     ways = [F.when(F.col(f"f{k}0").isNotNull(), F.struct(score(k).alias("score"), F.lit(k), F.col(f"f{k}0").alias("l"), F.col(f"f{k}1").alias("r"))) for k in range(1, LONGEST)]
     have = have.withColumn("way", F.array_min(F.array_compact(F.array(*ways)))).select("lang", *WORDS, "a", "way.score", "way.l", "way.r")
@@ -291,7 +363,7 @@ def collocations(docs: DataFrame, least: int = 30, inside: tuple[int, int] = (80
     for by in (["lang", "_b"], ["lang"]):
         have = have.withColumn("_k", F.rank().over(Window.partitionBy(*by).orderBy(*best))).where(F.col("_k") <= top)
     have = staged(have.drop("_b", "_k"), "phrase-best")
-    spelt = have.select("lang", *WORDS, F.posexplode(F.array(*WORDS)).alias("i", "w")).where("w >= 0").join(names.drop("f"), ["lang", "w"])
+    spelt = have.select("lang", *WORDS, F.posexplode(F.array(*WORDS)).alias("i", "w")).where("w >= 0").join(names.select("w", "word"), "w")
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"])
     spelt = spelt.groupBy("lang", *WORDS).agg(F.array_join(in_order, " ").alias("phrase"))
     have = have.join(spelt, ["lang", *WORDS])
@@ -302,7 +374,8 @@ def collocations(docs: DataFrame, least: int = 30, inside: tuple[int, int] = (80
 SQL = r"""
     WITH p AS (SELECT coalesce(lang, 'und') lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                       '[.,;:!?
--]')) piece FROM documents),
+-
+]')) piece FROM documents),
     w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') ws FROM p),
     f AS (SELECT lang, n len, array_to_string(ws[k:k + n - 1], ' ') ph, count(*) a
           FROM (SELECT lang, ws, n, unnest(range(1, len(ws) - n + 2)) k FROM w, (VALUES (1), (2), (3), (4)) x(n) WHERE len(ws) >= n) GROUP BY ALL),

@@ -106,9 +106,22 @@ def test_each_ngram_belongs_to_one_fragment():
     assert found == want
 
 
+@pytest.mark.parametrize("mix", [phrases._MIX, np.uint64(0)])
+def test_counts_when_hashes_collide(monkeypatch, mix):
+    monkeypatch.setattr(phrases, "_MIX", mix)
+    rng = np.random.default_rng(3)
+    rows, n = rng.integers(0, 4, (200, 3)), rng.integers(1, 5, 200)
+    want = Counter()
+    for r, k in zip(rows.tolist(), n.tolist()):
+        want[tuple(r)] += k
+    distinct, sums, each = phrases.counted(rows, n)
+    assert dict(zip(map(tuple, distinct.tolist()), sums.tolist())) == want
+    assert [want[tuple(r)] for r in rows.tolist()] == each.tolist()
+
+
 def test_words_that_share_a_hash_take_another(spark, monkeypatch):
     real = F.xxhash64
-    monkeypatch.setattr(phrases.F, "xxhash64", lambda *c: F.when(F.length(c[0]) == 2, F.lit(8).cast("bigint")).otherwise(real(*c)) if len(c) == 1 else real(*c))
+    monkeypatch.setattr(phrases.F, "xxhash64", lambda *c: F.when(F.length(c[0]) == 5, F.lit(8).cast("bigint")).otherwise(real(*c)) if len(c) == 1 else real(*c))
     rows = [("en", w, 50) for w in ("ab", "cd", "efg")]
     numbers, names = phrases.numbered(spark.createDataFrame(rows, "lang string, word string, f long"), 30, 0)
     assert numbers.salt == b"\0" and len({r.w for r in names.collect()}) == 3
