@@ -56,6 +56,13 @@ def scaled(b: Column, fx: Column, fy: Column) -> Column:
     return box(half_up(b["x1"] * fx), half_up(b["y1"] * fy), half_up(b["x2"] * fx), half_up(b["y2"] * fy))
 
 
+def unscaled(b: Column, fx: Column, fy: Column) -> Column:
+    """Back from ``scaled``: divided by the factors, rounded half up; null where a factor is 0."""
+    half_up = lambda v: F.floor(v + F.lit(0.5)).cast("int")
+    over = lambda v, f: half_up(F.try_divide(v.cast("double"), f.cast("double")))
+    return box(over(b["x1"], fx), over(b["y1"], fy), over(b["x2"], fx), over(b["y2"], fy))
+
+
 def rebased(b: Column, origin: Column) -> Column:
     return box(b["x1"] - origin["x1"], b["y1"] - origin["y1"], b["x2"] - origin["x1"], b["y2"] - origin["y1"])
 

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions.geometry import clipped, union_area
+from hushframe.sources.staging import staged
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -36,23 +37,66 @@ def exposure(pages: DataFrame, raw: str, clean: str, *by: str) -> DataFrame:
     return out.withColumn("ratio", ratio(F.col("clean_bytes"), F.col("raw_bytes")))
 
 
+#: Buckets that a range of values is cut into on the way to a rank, and groups whose ranges are broadcast.
+RANK_BUCKETS, BROADCAST_GROUPS = 4096, 10_000
+
+
+def at_ranks(values: DataFrame, by: str, value: str, ranks: dict[str, Column]) -> DataFrame:
+    """by, n and, under each name, the value of that rank (from 1) among a group's values; ranks are expressions of n.
+
+    Values are doubles or anything that casts to them without loss; nulls don't count, NaN is the greatest. Each round
+    counts a group's values by buckets of the range that the rank is known to lie in, and goes on with the one bucket
+    that holds it, until that has one value: two rounds for some ten million even values, one more for each factor of
+    RANK_BUCKETS. Counts combine on the map side, and a group's buckets are few, so that no task holds a group. The
+    infinite have buckets of their own. values are read once a round: they are stored first.
+    """
+    v = values.select(F.col(by), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    v = staged(v, "ranks")
+    kinds = F.array(*(F.struct(F.lit(k).alias("_kind"), r.cast("bigint").alias("_rank")) for k, r in ranks.items()))
+    sums = v.groupBy(by).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    wanted = sums.withColumn("_k", F.explode(kinds)).select(by, "n", "_lo", "_hi", "_k.*", F.lit(0).cast("bigint").alias("_before"))
+    wanted = staged(wanted, "ranks-wanted")
+    found = []
+    while True:
+        # NaN equals NaN here, so that a group of nothing else is found at once.
+        found.append(wanted.where("_lo = _hi").select(by, "n", "_kind", F.col("_lo").alias("_at")))
+        wanted = wanted.where("_lo != _hi")
+        left = wanted.count()
+        if not left:
+            break
+        end = lambda x, cap: F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(cap)).otherwise(x)
+        lo, hi, x = end(F.col("_lo"), -1.7976931348623157e308), end(F.col("_hi"), 1.7976931348623157e308), F.col("_v")
+        # Halves keep the range of the greatest doubles finite; one too small for a double has its greatest value apart.
+        part = F.try_divide(x / 2 - lo / 2, hi / 2 - lo / 2)
+        bucket = (
+            F.when(F.isnan(x), RANK_BUCKETS + 1).when(x == float("inf"), RANK_BUCKETS).when(x == float("-inf"), -1)
+            .when(x >= hi, RANK_BUCKETS - 1).otherwise(F.coalesce(F.least(F.floor(part * (RANK_BUCKETS - 1)), F.lit(RANK_BUCKETS - 2)), F.lit(0)))
+        )
+        ranges = wanted.select(by, "_kind", "_lo", "_hi")
+        near = v.join(F.broadcast(ranges) if left <= BROADCAST_GROUPS else ranges, by).where("_v >= _lo AND _v <= _hi")
+        counts = near.groupBy(by, "_kind", bucket.cast("int").alias("_b")).agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = F.sum("_c").over(Window.partitionBy(by, "_kind").orderBy("_b"))
+        placed = counts.join(wanted.drop("_lo", "_hi"), [by, "_kind"]).withColumn("_upto", upto + F.col("_before")).where("_upto >= _rank")
+        first = placed.groupBy(by, "n", "_kind", "_rank").agg(F.min(F.struct("_b", "_lo", "_hi", (F.col("_upto") - F.col("_c")).alias("_before"))).alias("_f"))
+        wanted = staged(first.select(by, "n", "_f._lo", "_f._hi", "_kind", "_rank", "_f._before"), "ranks-wanted")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.groupBy(by, "n").agg(*(F.max(F.when(F.col("_kind") == k, F.col("_at"))).alias(k) for k in ranks))
+
+
 def latency(samples: DataFrame, by: str, page: str, order: list[str], value: str, warm: int = 0) -> DataFrame:
     """n, median and p95 by group, without the first ``warm`` samples of each page.
 
-    The p95 is the sample of rank max(1, floor(0.95 n)). Ranks come from sums of counts of distinct values, so that
-    no task holds a whole group's samples, only its distinct values.
+    The p95 is the sample of rank max(1, floor(0.95 n)), the median the mean of the two in the middle.
     """
-    warmed = samples.withColumn("_n", F.row_number().over(Window.partitionBy(page).orderBy(*order))).where(F.col("_n") > warm)
-    counts = warmed.groupBy(by, value).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(by).orderBy(value)))
-    total = counts.groupBy(by).agg(F.sum("c").alias("n"))
-    placed = upto.join(total, by)
-    place = lambda r: F.min(F.when(F.col("upto") >= r, F.col(value)))
+    warmed = samples
+    if warm:
+        warmed = samples.withColumn("_n", F.row_number().over(Window.partitionBy(page).orderBy(*order))).where(F.col("_n") > warm)
     n = F.col("n")
-    return placed.groupBy(by, "n").agg(
-        ((place(F.floor((n + 1) / 2)) + place(F.floor(n / 2) + 1)) / 2).alias("median"),
-        place(F.greatest(F.lit(1).cast("bigint"), F.floor(n * 95 / 100))).alias("p95"),
-    )
+    ranks = {"_low": F.floor((n + 1) / 2), "_high": F.floor(n / 2) + 1, "p95": F.greatest(F.lit(1).cast("bigint"), F.floor(n * 95 / 100))}
+    placed = at_ranks(warmed, by, value, ranks)
+    return placed.select(by, "n", ((F.col("_low") + F.col("_high")) / 2).alias("median"), "p95")
 
 
 def masked_pixels(pages: DataFrame, width: int, height: int) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions import geometry as g
 from hushframe.functions.text import goal_score, terms
-from hushframe.operators import context, folds, layers, metrics, planner, snapshot, spatial
+from hushframe.operators import context, folds, layers, loop, metrics, planner, snapshot, spatial
 from hushframe.plans.inputs import AREA, BOXES_SQL, boxes, cover, inter, iou, table, union
 from hushframe.sources.corpus import dom_blind
 
@@ -376,17 +376,22 @@ _STAYS = f"""l AS (SELECT config, page_id, list({{'cls': cls, 'mode': mode, 'lay
    z AS (SELECT config, page_id, CAST(unnest(range(len(kept))) AS INT) AS place, unnest(kept) AS x FROM k)"""
 
 
-@query(f"""WITH {_LAYERS}, it AS (SELECT c.config, i.* FROM (VALUES ('L1', 'L1'), ('L1+L2', 'L2'), ('L1+L2+L3', 'L3')) c(config, last)
-      JOIN (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM ds) i ON i.layer <= c.last), {_STAYS}
-   SELECT config, page_id, place, x.cls AS cls, x.mode AS mode, x.layer AS layer, x.src AS src, x.span AS span, x.ord AS ord FROM z""")
+#: Ten words to a text, ten pixels apart in its element's box: what spells a name, or begins to, and where.
+_NARROW = "SELECT * REPLACE (x1 + CASE st WHEN 1 THEN 17 ELSE 67 END AS x1, y1 + 2 AS y1, x1 + CASE st WHEN 1 THEN 41 ELSE 81 END AS x2, y1 + 18 AS y2) FROM l2"
+
+
+@query(f"""WITH {_LAYERS}, it AS (SELECT c.config, i.* FROM (VALUES ('L1', 'L1', false), ('L1+L2', 'L2', false), ('L1+L2+L3', 'L3', false), ('L1+L2+L3+words', 'L3', true)) c(config, last, small)
+      JOIN (SELECT *, NULL::BOOLEAN AS small FROM l1 UNION ALL SELECT *, false FROM l2 UNION ALL SELECT *, true FROM ({_NARROW}) UNION ALL SELECT *, NULL FROM ds) i
+      ON i.layer <= c.last AND coalesce(i.small = c.small, true)), {_STAYS}
+   SELECT config, page_id, place, x.cls AS cls, x.mode AS mode, x.layer AS layer, x.src AS src, x.span AS span, x.ord AS ord, x.x1 AS x1, x.y2 AS y2 FROM z""")
 def layer_ablation(spark, d):
-    """The plan of each page with one layer, two and all three."""
+    """The plan of each page with one layer, two, all three, and with spans narrowed to their words."""
     e, dets = _layer_inputs(spark, d)
-    out = None
-    for on in (("L1",), ("L1", "L2"), ("L1", "L2", "L3")):
-        plan = layers.build_plan(e, dets, layers=on).select(F.lit("+".join(on)).alias("config"), "page_id", "place", "cls", "mode", "layer", "src", "span", "ord")
-        out = plan if out is None else out.union(plan)
-    return out
+    w = e.select("page_id", "box", F.col("ord").alias("element"), F.posexplode(F.split(F.col("text"), " ")).alias("ord", "text")).where("text <> ''")
+    at = lambda name, by: (F.col(f"box.{name}") + by).alias
+    word = F.struct(at("x1", F.col("ord") * 10)("x1"), at("y1", 5)("y1"), at("x1", F.col("ord") * 10 + 8)("x2"), at("y1", 15)("y2"))
+    plans = layers.ablation(e, dets, w.withColumn("box", word))
+    return plans.select("config", "page_id", "place", "cls", "mode", "layer", "src", "span", "ord", F.col("box.x1").alias("x1"), F.col("box.y2").alias("y2"))
 
 
 @query("""WITH e AS (SELECT vec_id, embedding v, list_max(embedding[5:9]) s FROM embeddings),
@@ -434,3 +439,78 @@ def selective_plan(spark, d):
     """All layers over made-up elements and detections, selectively: structure first, pixels where it is blind."""
     e, dets = _layer_inputs(spark, d)
     return layers.build_plan(e, dets, selective=True).select("page_id", "place", "cls", "mode", "layer", "src", "span", "ord")
+
+
+_LOOP = f"""{B}, k AS (SELECT *, CASE WHEN role = 'textbox' AND ord % 2 = 0 THEN 'password' END AS kind FROM b),
+   s AS (SELECT *, role IN ('button', 'link', 'textbox') AND kind IS NULL AND NOT EXISTS (SELECT 1 FROM b p WHERE p.page_id = k.page_id AND p.side = 'F' AND {cover('k', 'p')} > 0.5) AS shown FROM k),
+   t AS (SELECT page_id, min(ord) AS ord FROM b WHERE role = 'button' AND starts_with(label, 'Download') GROUP BY page_id)"""
+
+
+@query(f"""WITH {_LOOP}, a AS (SELECT DISTINCT page_id FROM b),
+   r AS (SELECT a.page_id, t.ord IS NOT NULL AND EXISTS (SELECT 1 FROM s WHERE s.page_id = a.page_id AND s.ord = t.ord AND shown)
+                AND NOT EXISTS (SELECT 1 FROM s WHERE s.page_id = a.page_id AND s.ord < t.ord AND shown AND starts_with(label, 'Download') AND role IN ('button', 'link')) AS ok,
+          (SELECT count(*) FROM b g WHERE g.page_id = a.page_id AND g.side = 'F' AND
+              ((g.cls = 'PERSON' AND (t.ord IS NOT NULL OR EXISTS (SELECT 1 FROM s WHERE s.page_id = a.page_id AND shown AND contains(label, 'income'))))
+              OR (g.cls = 'ADDRESS' AND EXISTS (SELECT 1 FROM s WHERE s.page_id = a.page_id AND shown AND label = 'Help')))) AS leaks,
+          (SELECT count(*) FROM k WHERE k.page_id = a.page_id AND kind IS NOT NULL AND side = 'O') AS found, (SELECT count(*) FROM k WHERE k.page_id = a.page_id AND kind IS NOT NULL) AS there
+        FROM a LEFT JOIN t USING (page_id))
+   SELECT CAST(page_id % 2 AS BIGINT) AS set, count(*) AS pages, CAST(sum(CAST(ok AS INT)) AS DOUBLE) / count(*) AS planning_success, CAST(sum(leaks) AS BIGINT) AS pii_strings_in_metadata,
+          CAST(sum(found) AS BIGINT) AS secret_fields_found, CAST(sum(there) AS BIGINT) AS secret_fields_expected FROM r GROUP BY ALL""")
+def loop_score(spark, d):
+    """From pages to scores: what is disclosed, whether the planner clicks the right control, and what leaks."""
+    b = boxes(spark, d).withColumn("text", F.col("label"))
+    e = b.withColumn("input_type", F.when((F.col("role") == "textbox") & (F.col("ord") % 2 == 0), "password"))
+    masks = b.where("side = 'F'")
+    secret = F.col("input_type").isNotNull()
+    fields = e.groupBy("page_id").agg(F.count_if(secret & (F.col("side") == "O")).alias("secrets_found"), F.count_if(secret).alias("secrets_expected"))
+    pages = loop.disclosures(e, masks).join(fields, "page_id").withColumn("set", F.col("page_id") % 2)
+    gold = masks.select("page_id", F.when(F.col("cls") == "PERSON", "income").when(F.col("cls") == "ADDRESS", "Help").when(F.col("ord") == 1, "").alias("text"))
+    return loop.loop_scores(pages, gold, "set")
+
+
+_OVER = ORACLE_SQL["union_area"]
+
+
+@query(f"""SELECT CAST(page_id % 3 AS BIGINT) AS set, count(*) AS pages, CAST(sum(mask_px - both_px) AS BIGINT) AS over_px, CAST(sum(mask_px - both_px) * 100 AS DOUBLE) / (count(*) * 921600) AS overmask_pct
+   FROM ({_OVER}) GROUP BY ALL""")
+def overmasking(spark, d):
+    b = boxes(spark, d)
+    of = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("box")))
+    pages = b.groupBy("page_id").agg(of("F").alias("masks"), of("O").alias("sensitive")).withColumn("set", F.col("page_id") % 3)
+    return loop.overmasked(pages, "set", 1280, 720)
+
+
+@query(f"WITH {B}, f AS (SELECT DISTINCT page_id FROM b ORDER BY page_id LIMIT 8) SELECT page_id, count(*) AS n FROM b WHERE page_id IN (SELECT page_id FROM f) GROUP BY page_id")
+def first_pages(spark, d):
+    """The first pages, as many as latencies are measured on."""
+    return loop.first_pages(boxes(spark, d), 8).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {B} SELECT page_id, ord, CAST(floor(x1 / 1.5::DOUBLE + 0.5) AS INT) AS x1, CAST(floor(y1 / 1.25::DOUBLE + 0.5) AS INT) AS y1, CAST(floor(x2 / 1.5::DOUBLE + 0.5) AS INT) AS x2,
+   CAST(floor(y2 / 1.25::DOUBLE + 0.5) AS INT) AS y2 FROM b""")
+def unscaled_boxes(spark, d):
+    return boxes(spark, d).select("page_id", "ord", g.unscaled(F.col("box"), F.lit(1.5), F.lit(1.25)).alias("s")).select("page_id", "ord", "s.*")
+
+
+#: Sentences by the slots that they need, and by customer four of six values.
+_SENTENCES = [("Mail {EMAIL} or call {PHONE}.", ["EMAIL", "PHONE"]), ("To {EMAIL}.", ["EMAIL"]), ("{PERSON} lives at {ADDRESS}.", ["PERSON", "ADDRESS"]), ("Pay {ACCOUNT} at {IFSC}, {PERSON}.", ["ACCOUNT", "IFSC", "PERSON"]), ("Dear {PERSON}.", ["PERSON"])]
+_SLOTS = ["EMAIL", "PHONE", "PERSON", "ADDRESS", "ACCOUNT", "IFSC"]
+_HAS = "(c_custkey >> {k}) % 4 > 0"
+
+
+@query(f"""WITH c AS (SELECT c_custkey, list_filter([{', '.join(f"CASE WHEN {_HAS.format(k=k)} THEN {{'s': '{s}', 'v': '{s.lower()}' || c_custkey}} END" for k, s in enumerate(_SLOTS))}], lambda x: x IS NOT NULL) AS vs,
+       CAST(c_custkey % 5 AS INT) AS turn FROM customer),
+   k AS (SELECT *, list_transform(vs, lambda x: x.s) AS known, list_transform(range(5), lambda i: ([{', '.join(f"{{'t': '{t}', 's': {s}}}" for t, s in _SENTENCES)}])[(i + turn) % 5 + 1]) AS ts FROM c),
+   f AS (SELECT *, list_reduce(list_transform(ts, lambda x: {{'lines': [x.t], 'used': x.s}}), lambda a, x: CASE WHEN list_has_all(known, x.used) AND NOT list_has_all(a.used, x.used) AND len(a.used) < len(known)
+          THEN {{'lines': list_concat(a.lines, x.lines), 'used': list_concat(a.used, list_filter(x.used, lambda u: NOT list_contains(a.used, u)))}} ELSE a END, {{'lines': []::VARCHAR[], 'used': []::VARCHAR[]}}) AS r FROM k)
+   SELECT c_custkey, list_reduce(list_prepend({{'s': '', 'v': array_to_string(r.lines, ' ')}}, vs), lambda a, x: {{'s': '', 'v': replace(a.v, '{{' || x.s || '}}', x.v)}}).v AS text,
+          array_to_string(list_sort(list_filter(known, lambda s: NOT list_contains(r.used, s))), ',') AS rest FROM f""")
+def template_fill(spark, d):
+    """Sentences that a customer's values fill, from a place that turns with the customer, and the values that none took."""
+    k = F.col("c_custkey")
+    has = [F.when(F.expr(_HAS.format(k=i).replace(f"c_custkey >> {i}", f"shiftright(c_custkey, {i})")), F.struct(F.lit(s).alias("s"), F.concat(F.lit(s.lower()), k.cast("string")).alias("v"))) for i, s in enumerate(_SLOTS)]
+    values = F.map_from_entries(F.array_compact(F.array(*has)))
+    all_ = F.array(*(F.struct(F.lit(t).alias("text"), F.array(*map(F.lit, s)).alias("slots")) for t, s in _SENTENCES))
+    turned = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.get(all_, ((i + k) % 5).cast("int")))
+    done = folds.filled_templates(turned, values)
+    return table(spark, d, "customer").select("c_custkey", done.alias("f")).select("c_custkey", F.array_join("f.lines", " ").alias("text"), F.array_join("f.left", ",").alias("rest"))
