@@ -28,6 +28,13 @@ AROUND = re.compile(
     r"comments?|commentlist|respond|reply|replies|disqus|pagination|pager|widget|tags?|copyright|legal|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Of these, what is left out of an article too, whatever it holds: adverts, menus, sidebars, notices, forms, comments. All
+#: others are left out of an article only where most of their text is links.
+WITHIN = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|sidebar|nav\w*|menu|breadcrumbs?|footer|cookies?|consent|gdpr|notice|newsletter|subscribe|"
+    r"comments?|commentlist|respond|reply|replies|disqus)(?:$|[\s_-])",
+    re.I,
+)
 HOLDS = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?:$|[\s_-])", re.I)
 
 _UNSEEN = re.compile(
@@ -47,7 +54,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 
     Elements for navigation, forms, asides and footers, those whose class or id names such a thing, and headers
     outside an article are stripped with all they hold. One that is never closed is read as if it held nothing. A
-    name does not strip what holds an article or, on a page without one outside it, most of the page's text.
+    name does not strip what holds an article or, on a page without one outside it, most of the page's text. Inside an
+    article only names of WITHIN strip whatever they hold, others what is mostly links.
     """
     page = _UNSEEN.sub(" ", page)
     pieces: list[tuple[int, int, str, str, str]] = []  # text before, then the tag: kind 1 opens, -1 closes
@@ -72,15 +80,23 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             ends[waiting[name].pop()] = i
 
     # Characters before each piece's tag, and articles opened before it.
-    chars, articles = [0], [0]
+    chars, linked, articles = [0], [0], [0]
+    depth = 0
     for start, end, close, name, _ in pieces:
-        chars.append(chars[-1] + len(page[start:end].strip()))
+        n = len(page[start:end].strip())
+        chars.append(chars[-1] + n)
+        linked.append(linked[-1] + (n if depth else 0))
+        if name == "a":
+            depth = max(0, depth + (-1 if close else 1))
         articles.append(articles[-1] + (name in ("article", "main") and not close))
 
     def wraps(i: int) -> bool:
         inside = articles[ends[i]] - articles[i + 1]
         return inside > 0 or (not articles[-1] and 2 * (chars[ends[i] + 1] - chars[i + 1]) > chars[-1])
 
+    def links_only(i: int) -> bool:
+        return 2 * (linked[ends[i] + 1] - linked[i + 1]) > chars[ends[i] + 1] - chars[i + 1]
+
     out: list[tuple[str, int, bool]] = []
     text: list[str] = []
     plain = 0
@@ -112,6 +128,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 named = _names(attributes)
                 holds = name in ("article", "main") or (name in ("div", "section", "td") and bool(HOLDS.search(named)))
                 around = bool(named) and name not in ("article", "main", "body", "html") and bool(AROUND.search(named)) and not wraps(i)
+                if around and i <= held_until:
+                    around = bool(WITHIN.search(named)) or links_only(i)
                 if name in ASIDE or around or (name == "header" and i > held_until):
                     skip_until = ends[i]
                 elif holds:
@@ -143,7 +161,7 @@ def main_text(page: str | None) -> str:
     holds weighs SURGE at least. Text surges where the sums of windows of WINDOW lines rise from nothing and dives where
     they fall back to nothing; all lines from surge to dive are kept whole if a window between reaches SURGE (or none
     on the page does). Where an article element begins or ends a surge ends too, and what surges outside is kept only
-    if it rises as high as the article does at its highest: the mark is then on a teaser, not on the text.
+    if it has as much text as all that surges inside together: the mark is then on a teaser, not on the text.
     """
     lines = lines_of(page or "")
     parts: list[tuple[bool, int, list[int]]] = []  # held, first line, weights
@@ -154,10 +172,10 @@ def main_text(page: str | None) -> str:
         parts[-1][2].append(max(plain, SURGE) if held else own)
     found = [(held, first + a, first + b, peak) for held, first, weights in parts for a, b, peak in surges(weights)]
     least = min(SURGE, max((peak for *_, peak in found), default=0))
-    for _, first, weights in (p for p in parts if p[0]):
-        plains = [plain for _, plain, _ in lines[first : first + len(weights)]]
-        least = max(least, SURGE, *(sum(plains[k : k + WINDOW]) for k in range(len(plains))))
-    return "\n\n".join(s for held, a, b, peak in found if held or peak >= least for s, _, _ in lines[a:b])
+    mass = lambda a, b: sum(plain for _, plain, _ in lines[a:b])
+    inside = sum(mass(a, b) for held, a, b, _ in found if held)
+    stands = lambda held, a, b, peak: held or (peak >= least and mass(a, b) >= inside)
+    return "\n\n".join(s for held, a, b, peak in found if stands(held, a, b, peak) for s, _, _ in lines[a:b])
 
 
 def with_main_text(pages: DataFrame) -> DataFrame:

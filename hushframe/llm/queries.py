@@ -55,7 +55,9 @@ def op7_line_dedup(spark, sf_dir):
 
 
 def op8_mix_sources(spark, sf_dir):
-    return mixing.pareto_mix(_table(spark, sf_dir, "documents"), importance=mixing.by_length())
+    mix = mixing.pareto_mix(_table(spark, sf_dir, "documents"), importance=mixing.by_length())
+    first = ["doc_id", "size", "source_size", "target", "taken"]
+    return mix.select(*first, *(c for c in mix.columns if c not in first))
 
 
 def op9_simhash_near_dedup(spark, sf_dir):

@@ -78,23 +78,31 @@ def window_entropy(s: Column, window: int = WINDOW) -> Column:
     weight = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)))
     term = lambda c: F.element_at(weight, c + 1)
     at = lambda i: F.instr(F.lit(ALPHABET), F.substring(s, i, F.lit(1)))
+    # Counts are the characters of a string, one for each of ALPHABET, from "0" on.
+    count = lambda c, k: F.ascii(F.substring(c, k, F.lit(1))) - 48
+    put = lambda c, k, n: F.overlay(c, F.char(n + 48), k, F.lit(1))
 
     def step(a: Column, i: Column) -> Column:
-        new, old = at(i), F.when(i > window, at(i - window)).otherwise(F.lit(0))
-        up = F.element_at(a["c"], new)
-        down = F.when(old > 0, F.element_at(a["c"], F.greatest(old, F.lit(1)))).otherwise(F.lit(0))
-        counts = F.transform(
-            a["c"], lambda c, k: c + (k + 1 == new).cast("int") - (k + 1 == old).cast("int")
-        )
-        total = F.when(new == old, a["s"]).otherwise(
-            a["s"] + term(up + 1) - term(up) + F.when(old > 0, term(F.greatest(down - 1, F.lit(0))) - term(down)).otherwise(0.0)
-        )
-        best = F.when(i >= window, F.greatest(a["best"], F.lit(math.log2(window)) - total / window)).otherwise(a["best"])
-        return F.struct(counts.alias("c"), total.alias("s"), best.alias("best"))
-
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("c"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best")
-    )
+        def fallen(x: Column) -> Column:
+            """Without the character that leaves the window."""
+            old = count(x["c"], x["old"])
+            gone = F.struct(put(x["c"], x["old"], old - 1).alias("c"), (x["s"] - term(old) + term(old - 1)).alias("s"))
+            return F.when(i > window, gone).otherwise(F.struct(x["c"].alias("c"), x["s"].alias("s")))
+
+        def risen(x: Column) -> Column:
+            new = at(i)
+            up = count(x["c"], new)
+            return F.struct(put(x["c"], new, up + 1).alias("c"), (x["s"] - term(up) + term(up + 1)).alias("s"))
+
+        def seen(x: Column) -> Column:
+            h = F.when(i >= window, F.greatest(a["best"], F.lit(math.log2(window)) - x["s"] / window)).otherwise(a["best"])
+            return F.struct(x["c"].alias("c"), x["s"].alias("s"), h.alias("best"))
+
+        leaves = F.greatest(F.when(i > window, at(i - window)).otherwise(F.lit(1)), F.lit(1))
+        begun = F.struct(a["c"].alias("c"), a["s"].alias("s"), leaves.alias("old"))
+        return let(begun, lambda x: let(fallen(x), lambda y: let(risen(y), seen)))
+
+    start = F.struct(F.lit("0" * len(ALPHABET)).alias("c"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
     return F.when(F.length(s) >= window, F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step)["best"]).otherwise(0.0)
 
 
@@ -121,11 +129,13 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     )
     access = F.filter(matches(text, ACCESS, "access"), lambda x: F.length(x["s"]) >= 18)
     found = docs.withColumn("_assign", assign).withColumn("_access", access).withColumn("_hex", matches(text, HEX, "hex"))
-    found = found.withColumn("base", F.array_sort(F.concat("_assign", "_access", "_hex"))).drop("_assign", "_access", "_hex")
+    found = found.withColumn("base", F.array_sort(F.concat("_assign", "_access", "_hex"))).drop("_access", "_hex")
     found = found.withColumn("_candidates", matches(text, CANDIDATE, "entropy"))
-    outside = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    # Access keys and hexadecimal runs are made of a candidate's characters, so that one touches it only from inside.
+    inner = lambda c: c["s"].rlike(f"{ACCESS[:-1]}{{14}}") | c["s"].rlike(HEX)
+    outside = lambda c: ~inner(c) & ~F.exists("_assign", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     added = F.filter(F.filter("_candidates", outside), lambda c: is_random(c["s"]))
-    return found.withColumn("added", F.when(F.size("_candidates") > 0, added).otherwise(F.col("_candidates"))).drop("_candidates")
+    return found.withColumn("added", F.when(F.size("_candidates") > 0, added).otherwise(F.col("_candidates"))).drop("_candidates", "_assign")
 
 
 def spans_text(spans: Column) -> Column:
@@ -136,13 +146,13 @@ def spans_text(spans: Column) -> Column:
 
 
 def secrets_of_documents(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans."""
+    """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy."""
     found = secret_spans(docs.select("doc_id", "text")).select("doc_id", "base", "added")
     count = lambda k: F.size(F.filter("base", lambda x: x["ord"] == KINDS.index(k))).cast("bigint")
     return found.select(
         "doc_id",
         *(count(k).alias(f"n_{k}") for k in KINDS[:3]),
-        F.size("added").cast("bigint").alias("n_entropy"),
         F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
         spans_text(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        F.size("added").cast("bigint").alias("n_entropy"),
     )
