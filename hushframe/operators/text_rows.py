@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.functions import rules, text
+from hushframe.functions import rules, spans, text
 from hushframe.functions.bind import let
 from hushframe.functions.checksum import verhoeff_ok
 
@@ -44,13 +44,13 @@ def labelled_rows(html: Column) -> Column:
 
 def detect_rows(pages: DataFrame) -> DataFrame:
     """Adds entities (labelled values first, then shapes that begin outside them) and secrets to page_id, html."""
-    html = F.col("html")
-    secrets = F.concat(text.spans_of(html, PASSWORD, "PASSWORD"), text.spans_of(html, OTP, "OTP"))
-    return pages.withColumn("entities", text.detect_spans(html, "text", labelled_rows(html))).withColumn("secrets", secrets)
+    found = spans.with_matches(pages, "html", {"_passwords": ("PASSWORD", PASSWORD), "_otps": ("OTP", OTP)})
+    found = found.withColumn("secrets", F.concat("_passwords", "_otps")).withColumn("_labelled", labelled_rows(F.col("html")))
+    found = spans.with_spans(found, "html", "entities", "text", "_labelled")
+    return found.select(*pages.columns, "entities", "secrets")
 
 
 def redacted(pages: DataFrame) -> DataFrame:
     """Adds clean: entities as [CLASS_1], secret inputs as [CLASS_FIELD]."""
-    token = lambda end: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit("["), x["cls"], F.lit(end)).alias("token"))
-    spans = F.concat(F.transform("entities", token("_1]")), F.transform("secrets", token("_FIELD]")))
-    return pages.withColumn("clean", text.splice(F.col("html"), spans))
+    tokens = F.concat(spans.tokens(F.col("entities")), spans.tokens(F.col("secrets"), "_FIELD]"))
+    return spans.with_splice(pages, "html", tokens, "clean")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from hushframe.functions import rules, text
+from hushframe.functions import rules, spans, text
 from hushframe.functions.checksum import INVERSES, PLACES, PRODUCTS, verhoeff_digit, verhoeff_ok
 from hushframe.functions.shadow import SHADOW_SQL, shadow
 from hushframe.operators import metrics, snapshot
@@ -74,8 +74,8 @@ _EACH = " UNION ALL ".join(
 def pii_spans_with_offsets(spark, d):
     docs = table(spark, d, "documents").select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), "text")
     both = docs.union(table(spark, d, "pages").select(F.lit("p"), "page_id", "html"))
-    spans = F.concat(*(text.spans_of(F.col("text"), p, c) for c, p in (("EMAIL", EMAIL), ("ACCOUNT", ACCOUNT), ("PHONE", PHONE))))
-    return both.select("kind", "id", F.explode(spans).alias("x")).select("kind", "id", "x.*")
+    found = spans.with_matches(both, "text", {c: (c, p) for c, p in (("EMAIL", EMAIL), ("ACCOUNT", ACCOUNT), ("PHONE", PHONE))})
+    return found.select("kind", "id", F.explode(F.concat("EMAIL", "ACCOUNT", "PHONE")).alias("x")).select("kind", "id", "x.*")
 
 
 _REDACT = rf"""WITH t AS (SELECT doc_id, text, {SHADOW} AS sh FROM documents),
@@ -90,15 +90,14 @@ _REDACT = rf"""WITH t AS (SELECT doc_id, text, {SHADOW} AS sh FROM documents),
 
 @query(_REDACT + " SELECT doc_id, sha256(z.out || substr(text, z.at + 1)) AS redacted FROM r")
 def redact_documents(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.sha2(text.redact(t, text.detect_spans(t, "text")), 256).alias("redacted"))
+    docs = spans.redacted(table(spark, d, "documents").select("doc_id", "text"), "text", "clean")
+    return docs.select("doc_id", F.sha2("clean", 256).alias("redacted"))
 
 
 @query(_REDACT + """, x AS (SELECT lang, CAST(sum(octet_length(encode(z.out || substr(r.text, z.at + 1)))) AS BIGINT) AS clean_bytes, CAST(sum(octet_length(encode(r.text))) AS BIGINT) AS raw_bytes
     FROM r JOIN documents USING (doc_id) GROUP BY lang) SELECT lang, clean_bytes, raw_bytes, CAST(clean_bytes AS DOUBLE) / raw_bytes AS ratio FROM x""")
 def exposure_ratio(spark, d):
-    t = F.col("text")
-    docs = table(spark, d, "documents").withColumn("clean", text.redact(t, text.detect_spans(t, "text")))
+    docs = spans.redacted(table(spark, d, "documents"), "text", "clean")
     return metrics.exposure(docs, "text", "clean", "lang")
 
 
@@ -110,9 +109,9 @@ def exposure_ratio(spark, d):
     SELECT doc_id, z.n AS n_email, CAST(regexp_matches(text, '[^ -~]') AS BOOLEAN) AS wide, length(z.out || substr(text, z.at + 1)) AS chars FROM b""")
 def tokenise_emails(spark, d):
     t = F.col("text")
-    spans = text.spans_of(t, EMAIL, "EMAIL")
-    out = text.splice(t, F.transform(spans, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit("[EMAIL_"), i + 1, F.lit("]")).alias("token"))))
-    return table(spark, d, "documents").select("doc_id", F.size(spans).cast("bigint").alias("n_email"), t.rlike("[^ -~]").alias("wide"), F.length(out).cast("bigint").alias("chars"))
+    found = text.spans_of(t, EMAIL, "EMAIL")
+    out = text.splice(t, F.transform(found, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit("[EMAIL_"), i + 1, F.lit("]")).alias("token"))))
+    return table(spark, d, "documents").select("doc_id", F.size(found).cast("bigint").alias("n_email"), t.rlike("[^ -~]").alias("wide"), F.length(out).cast("bigint").alias("chars"))
 
 
 @query(rf"""WITH f AS (SELECT doc_id, {SHADOW} AS s FROM documents)
