@@ -74,6 +74,15 @@ def undisclosed_to_stop(actions: DataFrame, elements: DataFrame) -> DataFrame:
     return a.select(*stopped)
 
 
+def with_target(actions: DataFrame, elements: DataFrame) -> DataFrame:
+    """Adds found, sensitive and same_origin of the disclosed element (request_id, id) that target_id names; found is false
+    and the others null where none is. Elements that repeat an id count once, by the first in order of ord."""
+    known = elements.groupBy("request_id", F.col("id").alias("target_id")).agg(F.min_by(F.struct("sensitive", "same_origin"), "ord").alias("_t"))
+    a = actions.join(known, ["request_id", "target_id"], "left")
+    return a.select(*actions.columns, F.col("_t").isNotNull().alias("found"), "_t.sensitive", "_t.same_origin")
+
+
+# The reasons below are fixed values.
 def intent_note(goal: Column, target: Column) -> Column:
     """goal and target are arrays of terms."""
     hit = F.exists(goal, lambda g: F.exists(target, lambda t: alike(g, t)))

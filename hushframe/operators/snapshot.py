@@ -1,6 +1,6 @@
 """Elements of page snapshots: what is kept, and what their attributes mean."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -82,9 +82,11 @@ def same_origin(target: Column, page_url: Column) -> Column:
 
 
 def first_of_each(elements: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key by the given order; not any row, as dropDuplicates would keep."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return elements.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The first row of each key by the given order; not any row, as dropDuplicates would keep. Rows combine on the map
+    side, so that a key that many rows share lands in no task with all of them."""
+    rest = [c for c in elements.columns if c not in keys]
+    first = elements.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    return first.select(*(F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in elements.columns))
 
 
 def deduplicated(elements: DataFrame) -> DataFrame:
@@ -95,10 +97,11 @@ def deduplicated(elements: DataFrame) -> DataFrame:
 
 def ui_class(x: str = "") -> Column:
     """The class of a contour from its features: w, h, mean_b, mean_g, mean_r, std, ink, centroid, dark_ink; null: none."""
+    # The thresholds below are fixed values.
     c = lambda n: F.col(f"{x}{n}")
     mean = (c("mean_b") + c("mean_g") + c("mean_r")) / 3
     ratio = c("w") / c("h")
-    flat = ratio.between(1.6, 10.0) & (ratio > 1.6) & (ratio < 10.0) & (c("h") > 26) & (c("h") < 72) & (mean > 170)
+    flat = (ratio > 1.6) & (ratio < 10.0) & (c("h") > 26) & (c("h") < 72) & (mean > 170)
     centred = F.abs(c("centroid") - 0.5) < 0.20
     return (
         F.when((mean < 140) & (ratio > 1.8) & (ratio < 7.5) & (c("h") > 28) & (c("h") < 70), "button")

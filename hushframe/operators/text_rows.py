@@ -7,6 +7,7 @@ from hushframe.functions import rules, spans, text
 from hushframe.functions.bind import let
 from hushframe.functions.checksum import verhoeff_ok
 
+# Labelled rows, and inputs that hold secrets.
 ROW = r"<td class='label'>([^<]*)</td><td class='value'>([^<]*)</td>"
 PASSWORD = r"<input[^>]*type=['\"]password['\"][^>]*>"
 OTP = r"<input[^>]*name=['\"]otp['\"][^>]*>"

@@ -296,8 +296,8 @@ def rules_planner(spark, d):
 
 
 _GATE = f"""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'CLICK' WHEN 1 THEN 'TYPE' WHEN 2 THEN 'SELECT' WHEN 3 THEN 'SCROLL' WHEN 4 THEN 'WAIT' WHEN 5 THEN 'STOP' WHEN 6 THEN 'DRAG' END AS act,
-  o_custkey % 11 <> 0 AS found, o_custkey % 7 = 0 AS sens, o_custkey % 5 <> 0 AS same,
-  {duck_terms("CASE o_custkey % 4 WHEN 0 THEN 'to the' WHEN 1 THEN 'urgent order form' ELSE 'open priority list' END")} AS gt, {duck_terms("o_orderpriority || ' order button'")} AS tt FROM orders"""
+  c_custkey IS NOT NULL AS found, c_custkey % 7 = 0 AS sens, c_custkey % 5 <> 0 AS same,
+  {duck_terms("CASE o_custkey % 4 WHEN 0 THEN 'to the' WHEN 1 THEN 'urgent order form' ELSE 'open priority list' END")} AS gt, {duck_terms("o_orderpriority || ' order button'")} AS tt FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 11 <> 0"""
 
 
 @query(f"""WITH o AS ({_GATE}), n AS (SELECT *, CASE WHEN len(gt) = 0 THEN 'goal has no actionable terms' WHEN len(tt) = 0 THEN 'target has no safe label'
@@ -313,8 +313,13 @@ def action_gate(spark, d):
     action = F.get(F.array(*map(F.lit, ("CLICK", "TYPE", "SELECT", "SCROLL", "WAIT", "STOP", "DRAG"))), (k % 8).cast("int"))
     goal = F.when(c % 4 == 0, "to the").when(c % 4 == 1, "urgent order form").otherwise("open priority list")
     note = planner.intent_note(terms(goal), terms(F.concat("o_orderpriority", F.lit(" order button"))))
-    v = planner.gate(action, c % 11 != 0, c % 7 == 0, c % 5 != 0, note)
-    return o.select("o_orderkey", v.alias("v")).select("o_orderkey", "v.verdict", "v.reason")
+    # What is disclosed to every request: a customer of eleven is not.
+    e = table(spark, d, "customer").where("c_custkey % 11 <> 0").select(
+        F.lit(0).alias("request_id"), F.col("c_custkey").alias("id"), F.col("c_custkey").alias("ord"), (F.col("c_custkey") % 7 == 0).alias("sensitive"), (F.col("c_custkey") % 5 != 0).alias("same_origin")
+    )
+    acts = o.select("o_orderkey", F.lit(0).alias("request_id"), c.alias("target_id"), action.alias("action"), note.alias("note"))
+    v = planner.gate(F.col("action"), F.col("found"), F.col("sensitive"), F.col("same_origin"), F.col("note"))
+    return planner.with_target(acts, e).select("o_orderkey", v.alias("v")).select("o_orderkey", "v.verdict", "v.reason")
 
 
 @query(f"""WITH {B} SELECT page_id, ord, '[' || cls || '_' || row_number() OVER (PARTITION BY page_id, cls ORDER BY ord) || ']' AS token FROM b""")
@@ -398,13 +403,13 @@ def layer_ablation(spark, d):
   x AS (SELECT vec_id, list_position(v[5:9], s) - 1 AS cls, CAST(s AS DOUBLE) AS score,
     greatest(0.0, least(1280.0, (CAST(v[1] AS DOUBLE) * 1000 + 500 - abs(CAST(v[3] AS DOUBLE)) * 2000 / 2 - 8) / 0.5::DOUBLE))::DOUBLE AS x1,
     greatest(0.0, least(1280.0, (CAST(v[1] AS DOUBLE) * 1000 + 500 + abs(CAST(v[3] AS DOUBLE)) * 2000 / 2 - 8) / 0.5::DOUBLE))::DOUBLE AS x2 FROM e)
-  SELECT vec_id, CAST(cls AS INT) AS cls FROM x WHERE score >= 0.30 AND x2 - x1 >= 4""")
+  SELECT vec_id, CAST(cls AS INT) AS cls, score, x1, x2, 0.0::DOUBLE AS y1, 720.0::DOUBLE AS y2 FROM x WHERE score >= 0.30 AND x2 - x1 >= 4""")
 def onnx_decode(spark, d):
     # Boxes as high as the page, so that only their width can be too small.
     at = lambda i: F.element_at("embedding", i).cast("double")
     v = F.concat(F.array(at(1) * 1000 + 500, F.lit(300.0), F.abs(at(3)) * 2000, F.lit(600.0)), F.transform(F.slice("embedding", 5, 5), lambda x: x.cast("double")))
     a = snapshot.decoded_anchor(v, 5, F.lit(0.5), F.lit(8.0), F.lit(8.0), F.lit(1280), F.lit(720))
-    return table(spark, d, "embeddings").select("vec_id", a.alias("a")).where("a IS NOT NULL").select("vec_id", "a.cls")
+    return table(spark, d, "embeddings").select("vec_id", a.alias("a")).where("a IS NOT NULL").select("vec_id", "a.cls", "a.score", "a.box.x1", "a.box.x2", "a.box.y1", "a.box.y2")
 
 
 @query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN (m < 140) AND r > 1.8 AND r < 7.5 AND h > 28 AND h < 70 THEN 'button' WHEN w > 110 AND h > 110 AND sd < 48 THEN 'image_region'

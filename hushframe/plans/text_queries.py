@@ -106,12 +106,12 @@ def exposure_ratio(spark, d):
     b AS (SELECT doc_id, list_reduce(list_prepend({{'at': CAST(0 AS BIGINT), 'out': '', 's': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT)}},
           list_transform(em, lambda x: {{'at': CAST(x.e AS BIGINT), 'out': '', 's': CAST(x.s AS BIGINT), 'n': CAST(0 AS BIGINT)}})),
           lambda a, x: {{'at': x.at, 'out': a.out || substr(text, a.at + 1, x.s - a.at) || '[EMAIL_' || (a.n + 1) || ']', 's': x.s, 'n': a.n + 1}}) AS z, text FROM a)
-    SELECT doc_id, z.n AS n_email, CAST(regexp_matches(text, '[^ -~]') AS BOOLEAN) AS wide, length(z.out || substr(text, z.at + 1)) AS chars FROM b""")
+    SELECT doc_id, z.n AS n_email, CAST(regexp_matches(text, '[^ -~]') AS BOOLEAN) AS wide, sha256(z.out || substr(text, z.at + 1)) AS tokenised FROM b""")
 def tokenise_emails(spark, d):
     t = F.col("text")
     found = text.spans_of(t, EMAIL, "EMAIL")
     out = text.splice(t, F.transform(found, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit("[EMAIL_"), i + 1, F.lit("]")).alias("token"))))
-    return table(spark, d, "documents").select("doc_id", F.size(found).cast("bigint").alias("n_email"), t.rlike("[^ -~]").alias("wide"), F.length(out).cast("bigint").alias("chars"))
+    return table(spark, d, "documents").select("doc_id", F.size(found).cast("bigint").alias("n_email"), t.rlike("[^ -~]").alias("wide"), F.sha2(out, 256).alias("tokenised"))
 
 
 @query(rf"""WITH f AS (SELECT doc_id, {SHADOW} AS s FROM documents)
@@ -241,13 +241,18 @@ def generated_text_scores(spark, d):
 _MIXED = f"((id + {7 * 7919}) % 1000003 * 48271 + {7 * 104729 + 11}) % 2147483647"
 
 
+_LEFT = f"((id + {200 * 7919}) % 1000003 * 48271 + {200 * 104729 + 11}) % 2147483647"
+_LABELS = [corpus.LABELS[c] for c in corpus.FIELDS] + ["Download Certificate"]
+
+
 @query(f"""WITH p AS (SELECT unnest(range((SELECT greatest(48, count(*) // 100) FROM orders))) AS id),
-   f AS (SELECT ['scholarship', 'hr', 'health', 'municipal', 'banking', 'transport'][({_MIXED}) * 16807 % 2147483647 // 7 % 6 + 1] AS family FROM p),
-   c AS (SELECT unnest({[*corpus.FIELDS]} || [NULL]) AS cls)
-   SELECT family, CASE WHEN family IN ('scholarship', 'hr') THEN 'dev' ELSE 'test' END AS split, cls, count(*) AS n FROM f, c GROUP BY ALL""")
+   f AS (SELECT id, ['scholarship', 'hr', 'health', 'municipal', 'banking', 'transport'][({_MIXED}) * 16807 % 2147483647 // 7 % 6 + 1] AS family, ({_LEFT}) * 16807 % 2147483647 // 7 % 60 + 40 AS x FROM p),
+   c AS (SELECT unnest(range({len(_LABELS)})) AS ord, unnest({[*corpus.FIELDS]} || [NULL]) AS cls, unnest({_LABELS}) AS label)
+   SELECT family || '_' || lpad(CAST(id AS VARCHAR), 8, '0') AS page_id, CAST(ord AS INT) AS ord, CASE WHEN family IN ('scholarship', 'hr') THEN 'dev' ELSE 'test' END AS split, cls, label,
+          CASE WHEN cls IS NULL THEN 'button' ELSE 'text' END AS role, CAST(x AS INT) AS x1, CAST(ord * 52 + 90 AS INT) AS y1, CAST(x + 360 AS INT) AS x2, CAST(ord * 52 + 130 AS INT) AS y2 FROM f, c""")
 def generated_portals(spark, d):
     n = max(48, table(spark, d, "orders").count() // 100)
-    return corpus.visual_pages(spark, n).groupBy("family", "split", "cls").agg(F.count("*").alias("n"))
+    return corpus.visual_pages(spark, n).select("page_id", "ord", "split", "cls", "label", "role", "box.*")
 
 
 def _duck_tokenised() -> str:

@@ -38,6 +38,12 @@ def truths(spark: SparkSession, folder: str) -> DataFrame:
     return files.withColumn("page_id", _stem(r"\.gt\.json"))
 
 
+def with_truths(spark: SparkSession, folder: str) -> DataFrame:
+    """Snapshots with the ground truth of the file that shares their stem (truth; null without one), for scorers."""
+    gold = truths(spark, folder)
+    return snapshots(spark, folder).join(gold.select("page_id", F.struct("family", "split", "elements").alias("truth")), "page_id", "left")
+
+
 def elements(pages: DataFrame) -> DataFrame:
     """One row for each element of snapshots: page_id, ord, box and the element's fields."""
     e = pages.select("page_id", F.posexplode("elements").alias("ord", "e")).select("page_id", "ord", "e.*")

@@ -166,6 +166,10 @@ def test_snapshot_files_and_upsert(spark, tmp_path):
     (tmp_path / "test_a.dom.json").write_text('{"width": 1280, "height": 720, "elements": [{"tag": "div", "rect": [1, 2, 3, 4], "text": "x"}]}')
     e = pages.elements(pages.snapshots(spark, str(tmp_path))).collect()
     assert [(r.page_id, r.ord, tuple(r.box), r.label) for r in e] == [("test_a", 0, (1, 2, 3, 4), None)]
+    (tmp_path / "test_b.dom.json").write_text('{"width": 10, "elements": []}')
+    (tmp_path / "test_a.gt.json").write_text('{"family": "hr", "split": "dev", "elements": [{"cls": "PAN", "box": [1, 2, 3, 4], "pii": "PAN", "text": "x"}]}')
+    both = {r.page_id: r.truth for r in pages.with_truths(spark, str(tmp_path)).collect()}
+    assert both["test_b"] is None and both["test_a"].family == "hr" and both["test_a"].elements[0].cls == "PAN"
     new = lambda v: spark.createDataFrame([("a", v)], "k string, v int")
     pages.write_results(new(1), str(tmp_path / "one"))
     assert pages.upsert_results(new(2), str(tmp_path / "table"), ["k"]).collect() == [("a", 2)]
