@@ -388,3 +388,35 @@ def test_pages_without_marks_keep_their_articles(spark):
         bare = html_text.main_text(re.sub(r"</?(article|main)\b[^>]*>", "", re.sub(r"\s(class|id)=\"[^\"]*\"", "", r.html), flags=re.I)).split("\n\n")
         right, kept, there = right + len(set(gold) & set(bare)), kept + len(set(bare)), there + len(set(gold))
     assert right == there and right / kept > 0.85
+
+
+def test_clashing_names_of_secrets_and_languages(spark):
+    names = ["base", "added", "spans", "n_hex", "_hex", "_candidates", "score", "lang_pred", "held_out", "source", "row"]
+    rows = [(i, f"le chat de la maison {i} token=abcdefgh12345678" if i % 2 else f"the cat of the house {i}", "fr" if i % 2 else "en", *["x"] * len(names)) for i in range(60)]
+    df = spark.createDataFrame(rows + [(None, None, None, *["x"] * len(names))], "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names))
+    found = {r.doc_id: r.n_assign for r in secrets.secrets_of_documents(df).collect()}
+    assert found == {**{i: i % 2 for i in range(60)}, None: 0}
+    said = {r.doc_id: r.lang_pred for r in language.language_of_documents(df).collect()}
+    assert said == {**{i: "fr" if i % 2 else "en" for i in range(60)}, None: "und"}
+
+
+def test_stages_on_very_long_texts(spark):
+    import random
+
+    from hushframe.llm import decontaminate, line_dedup, mixing, simhash
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    long = "\n".join(" ".join(word() for _ in range(12)) for _ in range(15_000))
+    flat = " ".join(word() for _ in range(150_000))
+    passage = "one two three four five six seven eight nine ten"
+    rows = [(1, long, "s"), (2, long + "\nand a line of its own at the end", "s"), (3, flat, "t"), (4, flat.replace(" ", "  ", 5), "t"), (5, "x" * 1_000_000, "t"), (6, f"{flat[:400_000]} {passage} {flat[400_000:]}", "u"), (7, "", "u"), (8, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    lines = {r.doc_id: r.text for r in line_dedup.without_duplicate_lines(d).collect()}
+    assert lines[1] == long and lines[2] == "and a line of its own at the end" and lines[3] == flat and lines[5] == "x" * 1_000_000
+    assert {r.doc_id for r in simhash.without_near_duplicates(d).collect()} == {1, 3, 5, 7, 8}
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    clean = {r.doc_id: r.text for r in decontaminate.decontaminated(d, bench).collect()}
+    assert set(clean) == set(range(1, 9)) and clean[6].split() == f"{flat[:400_000]} {flat[400_000:]}".split()
+    assert all(clean[i] == t for i, t, _ in rows if i != 6)
+    assert {r.doc_id for r in mixing.mixed(d).collect()} <= set(range(1, 9))
