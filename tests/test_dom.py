@@ -146,8 +146,8 @@ def test_the_first_way_that_is_not_blank_labels(spark):
         "<table><tr><th>Cell</th><td><span>in</span></td></tr></table>"
         "<select id=s><option value=v1><option selected>Two</option></select>",
     )
-    assert [got[k].label for k in sorted(got)] == ["Wrap", "Wrap", "", "", "Cell", "Cell", "Two"]
-    assert got[6].tag == "span" and got[6].text == "in" if 6 in got else True
+    # The first label and the second cell have no text of their own, and are no controls.
+    assert [(got[k].tag, got[k].label) for k in sorted(got)] == [("label", "Wrap"), ("input", "Wrap"), ("div", ""), ("th", ""), ("span", "Cell"), ("select", "Two")]
     last = got[max(got)]
     assert last.options == ["v1", "Two"] and last.text == "Two" and last.role == "combobox"
 
@@ -162,7 +162,7 @@ def test_fields_of_controls(spark):
     assert [x.input_type for x in r[:4]] == ["password", "otp", "checkbox", "text"]
     assert [x.role for x in r] == ["textbox", "textbox", "checkbox", "textbox", "button", "button", "combobox"]
     assert [x.enabled for x in r] == [True, True, False, True, False, True, True]
-    assert r[3].text == "a b" and r[5].text == "Send" and r[5].label == "Send it" and r[6].options == [str(k) for k in range(40)]
+    assert r[3].text == "a b" and r[5].text == "Send" and r[5].label == "it" and r[6].options == [str(k) for k in range(40)]
     assert [x.snapshot_id for x in r] == [0, 1, 2, 3, 4, 6, 7]
 
 
