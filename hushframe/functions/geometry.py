@@ -20,6 +20,11 @@ def intersection(a: Column, b: Column) -> Column:
     return F.greatest(w, F.lit(0)) * F.greatest(h, F.lit(0))
 
 
+def meets(a: Column, b: Column) -> Column:
+    """Whether two boxes have a pixel in common."""
+    return (a["x1"] < b["x2"]) & (b["x1"] < a["x2"]) & (a["y1"] < b["y2"]) & (b["y1"] < a["y2"])
+
+
 def union(a: Column, b: Column) -> Column:
     return area(a) + area(b) - intersection(a, b)
 
