@@ -278,6 +278,21 @@ def test_neighbours(spark):
     assert neighbours.nearest_neighbours(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_queries_unlike_other_rows(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (8000, 64))
+    x[::20] = rng.normal(3, 1, (400, 64))  # all queries lie together, in cells of their own
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = {}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for r in neighbours.nearest_neighbours(df).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    s = x[::20] @ x.T
+    s[np.arange(400), np.arange(0, 8000, 20)] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    assert sum(len(found[20 * i] & set(b.tolist())) for i, b in enumerate(best)) / best.size >= 0.95
+
+
 @pytest.mark.parametrize("times", [2, 26])
 def test_neighbours_of_repeated_rows(spark, times):
     rng = np.random.default_rng(3)
