@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from hushframe.functions.bind import computed
 from hushframe.functions.geometry import area
 from hushframe.operators import folds, metrics, planner, snapshot
 from hushframe.plans.inputs import BOXES_SQL, boxes, cover, table
@@ -143,8 +144,10 @@ def phrase_windows(spark, d):
     words = F.transform(i, lambda k: F.struct(word(k).alias("text"), F.struct((k * 50).alias("x1"), F.lit(0).alias("y1"), (k * 50 + 40).alias("x2"), F.lit(10).alias("y2")).alias("box")))
     # One word of two is enough, and windows are five words long: mostly the first window that reaches the phrase has
     # its first word only.
-    found = folds.phrase_box(words, F.lit("Ravi Verma"))
-    return table(spark, d, "customer").select("c_custkey", found.alias("f")).where("f IS NOT NULL").select("c_custkey", "f.x1", "f.x2")
+    # A key is few bytes and its line long, and one task may have read all keys: 20,000 lines a task.
+    keys = table(spark, d, "customer").select("c_custkey")
+    lines = computed(keys.repartition(-(-keys.count() // 20_000) or 1), "words", words)
+    return computed(lines, "f", folds.phrase_box(F.col("words"), F.lit("Ravi Verma"))).where("f IS NOT NULL").select("c_custkey", "f.x1", "f.x2")
 
 
 @query(f"""WITH {B} SELECT page_id, CAST(sum((x2 - x1) * (y2 - y1)) AS BIGINT) AS px, CAST(sum((x2 - x1) * (y2 - y1)) AS DOUBLE) / 921600 AS pixel_fraction,

@@ -1,5 +1,8 @@
+import time
+
 from pyspark.sql import functions as F
 
+from hushframe.functions.bind import computed
 from hushframe.operators import context, folds, layers, metrics, planner, snapshot, spatial
 from hushframe.operators.text_rows import detect_rows, redacted
 from hushframe.sources import corpus, pages
@@ -188,3 +191,17 @@ def test_undisclosed_targets_stop(spark):
     assert got == {
         (1, "CLICK", "el_1", 0.8, "a"), (1, "STOP", None, 0.0, planner.UNDISCLOSED), (2, "SCROLL", None, 0.5, "b"), (2, "WAIT", "", 0.4, "c"),
     }
+
+
+def test_a_phrase_is_found_in_lines_of_many_words_in_time(spark):
+    """Each word is looked at once, not once for each window that it lies in and each side of the box."""
+    rows = spark.range(2_000)
+    word = lambda k: F.when(k == 299, "RAVI").when(k == 300, "Verma,").otherwise(F.concat(F.lit("lorem"), (k + F.col("id")).cast("string")))
+    words = F.transform(F.sequence(F.lit(1), F.lit(300)), lambda k: F.struct(word(k).alias("text"), F.struct(k.alias("x1"), F.lit(0).alias("y1"), (k + 1).alias("x2"), F.lit(10).alias("y2")).alias("box")))
+    found = computed(computed(rows, "w", words), "f", folds.phrase_box(F.col("w"), F.lit("Ravi Verma")))
+    begin = time.time()
+    assert {tuple(r) for r in found.select("f.x1", "f.x2").collect()} == {(296, 303)}
+    assert time.time() - begin < 20
+    none = spark.sql("SELECT array(named_struct('text', CAST(NULL AS STRING), 'box', named_struct('x1', 0, 'y1', 0, 'x2', 1, 'y2', 1))) AS w")
+    assert none.select(folds.phrase_box(F.col("w"), F.lit("Ravi Verma")).alias("f")).collect()[0]["f"] is None
+    assert none.select(folds.phrase_box(F.slice("w", 1, 0), F.lit("Ravi Verma")).alias("f")).collect()[0]["f"] is None
