@@ -7,6 +7,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from hushframe.plans import event_queries
 from hushframe.sources.staging import shared_folder
 from hushframe.streaming import sink, state
 
@@ -104,3 +105,14 @@ def test_a_stream_without_files_gives_an_empty_table(spark, tmp_path, mode):
     s = spark.readStream.schema(SCHEMA).parquet(str(tmp_path))
     df = s.select("event_id") if mode == "append" else state.stream_last_values(s, "user_id", "ts", "event_id")
     assert sink.finished(df, "t", mode).count() == 0
+
+
+def test_events_of_a_turn_are_one_trigger_however_many_files_they_fill(spark, tmp_path, monkeypatch):
+    """Six files with events of all times: none of them may come too late because another has been read before it."""
+    rows = [(k, BEGIN.replace(tzinfo=None) + timedelta(minutes=45 * (k // 2), milliseconds=300 * (k % 2)), k // 2 % 7, "view", 1.0, None) for k in range(1200)]
+    table = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    table.repartition(6, F.xxhash64("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(event_queries, "FILE", 100, raising=False)
+    want = event_queries.rate_limit(spark, str(tmp_path)).collect()
+    got = event_queries.stream_rate_limit(spark, str(tmp_path)).collect()
+    assert len(want) == 1200 and sorted(map(tuple, got)) == sorted(map(tuple, want))
