@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hushframe.functions.bind import computed
 from hushframe.llm.shared import Bitmap, components, discard, joined, staged
 
 #: Edits (insertions, deletions, substitutions of a code point) within which lines link.
@@ -165,11 +166,12 @@ def _banded(x: Column, k: int) -> Column:
 
 
 def sketch(line: Column) -> Column:
-    """Counts of LETTERS, two bits each."""
-    out = F.lit(0)
+    """Counts of LETTERS, two bits each. A letter that is counted is taken out, so that the next has less to look at."""
+    out, rest = F.lit(0), line
     for k, letter in enumerate(LETTERS):
-        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter)))
-        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(3)), 2 * k))
+        others = F.replace(rest, F.lit(letter))
+        n = F.octet_length(rest) - F.octet_length(others)
+        out, rest = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(3)), 2 * k)), others
     return out
 
 
@@ -218,7 +220,8 @@ def edit_links(lines: DataFrame, edits: int = EDITS, repeated: DataFrame | None
     often = Bitmap(repeated.select("node"), "lines-repeated-bits").marked(lines, "node", "often")
     distinct = often.where("NOT often").select("node", "line").union(often.where("often").select("node", "line").distinct())
     n = F.col("n")
-    sized = distinct.withColumn("n", F.length("line"))
+    # The length stands in each signature several times.
+    sized = computed(distinct, "n", F.length("line"))
     index, lookups = [], []
     for i in range(edits + 1):
         start, size = _segment(n, i, edits)
@@ -227,8 +230,8 @@ def edit_links(lines: DataFrame, edits: int = EDITS, repeated: DataFrame | None
     for k, (less, i, shift) in enumerate(sought):
         start, size = _segment(n - less, i, edits)
         sig = _signature(F.col("line"), n - less, i, start + shift, size)
-        # The line that looks up is the longer one.
-        lookups.append(F.when(n >= LINKED, sig).alias(f"l{k}"))
+        # The line that looks up is the longer one; the first says so, as parts of a condition would be computed anew in each.
+        lookups.append((sig if k else F.when(n >= LINKED, sig)).alias(f"l{k}"))
     # Letters are counted once: that costs more than to write the numbers down.
     signed = staged(sized.select("node", sketch(F.col("line")).alias("s"), *index, *lookups), "lines-signed")
     index = signed.select("node", "s", F.explode(F.array(*(f"i{i}" for i in range(edits + 1)))).alias("sig"))

@@ -111,16 +111,20 @@ def components(links: DataFrame, label: str) -> DataFrame:
     jumps two labels at once, so that rounds grow with the logarithm of a component's diameter. Rounds use joins
     and minima that combine on the map side; each is staged, and the one before it deleted. What the HOT nodes of most
     links and the HOT labels of most nodes are joined with is broadcast, so that neither a hub nor a huge component
-    lands in one task. Self-links are allowed; no links give no rows.
+    lands in one task; up to BROADCAST_ROWS links, all of which one task can hold, are joined plainly. Self-links are
+    allowed; no links give no rows.
     """
     both = staged(
         links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), label
     )
-    hubs = staged(both.groupBy("b").count().orderBy(F.desc("count")).limit(HOT).select("b"), label)
+    few = both.count() <= BROADCAST_ROWS
+    hubs = None if few else staged(both.groupBy("b").count().orderBy(F.desc("count")).limit(HOT).select("b"), label)
     known = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")), label)
 
-    def looked_up(df: DataFrame, key: str, hot: DataFrame, table: DataFrame, name: str) -> DataFrame:
+    def looked_up(df: DataFrame, key: str, hot: DataFrame | None, table: DataFrame, name: str) -> DataFrame:
         """df with, under ``name``, what the table (key, value) has for df's key; hot keys by a broadcast of theirs."""
+        if hot is None:
+            return df.join(table, key)
         near = table.join(F.broadcast(hot), key).withColumnRenamed(name, "_hot")
         out = df.join(F.broadcast(near), key, "left")
         # A row of a hot key looks up its own node instead: any key will do that spreads.
@@ -137,7 +141,7 @@ def components(links: DataFrame, label: str) -> DataFrame:
             offer.select("a", "m").union(offer.select(F.col("root").alias("a"), "m")).groupBy("a").agg(F.min("m").alias("m")),
             label,
         )
-        large = hooked.groupBy("m").count().orderBy(F.desc("count")).limit(HOT).select("m")
+        large = None if few else hooked.groupBy("m").count().orderBy(F.desc("count")).limit(HOT).select("m")
         jump = looked_up(hooked, "m", large, hooked.select(F.col("a").alias("m"), F.col("m").alias("mm")), "mm")
         jump = jump.select("a", F.least("m", "mm").alias("root"))
         new = staged(jump.join(state.withColumnRenamed("root", "old"), "a"), label)
@@ -145,5 +149,5 @@ def components(links: DataFrame, label: str) -> DataFrame:
         discard(known, hooked)
         known = new
         if not moved:
-            discard(both, hubs)
+            discard(both, *([] if few else [hubs]))
             return new.select(F.col("a").alias("node"), "root")

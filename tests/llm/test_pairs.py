@@ -53,6 +53,29 @@ def test_components_of_chains_rings_and_stars(spark):
     assert shared.components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
 
 
+def test_components_of_few_links_need_no_tables_of_hubs(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(shared, "staged", lambda df, label, f=shared.staged: made.append(df.columns) or f(df, label))
+    links = spark.createDataFrame([(0, k) for k in range(1, 9)] + [(k, k + 1) for k in range(20, 30)], "a long, b long")
+    few = {tuple(r) for r in shared.components(links, "t").collect()}
+    assert ["b"] not in made
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    assert {tuple(r) for r in shared.components(links, "t").collect()} == few == {(k, 0) for k in range(9)} | {(k, 20) for k in range(20, 31)}
+    assert ["b"] in made
+
+
+def test_lines_are_measured_once_for_all_signatures(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(line_dedup, "staged", lambda df, label, f=line_dedup.staged: plans.append(df) or f(df, label))
+    lines = spark.createDataFrame([(1, "a line of over thirty letters here"), (2, "a line of over thirty letters hear")], "node long, line string")
+    assert [tuple(r) for r in line_dedup.edit_links(lines).collect()] == [(1, 2)]
+    signed = next(df for df in plans if "l0" in df.columns)._jdf.queryExecution().optimizedPlan().toString()
+    # One more for each side of the union, where short lines are left out.
+    assert signed.count("length(line") <= 8, signed.count("length(line")
+    counted = spark.createDataFrame([("banana tree, äöü eels",)], "line string").select(line_dedup.sketch(F.col("line"))).first()[0]
+    assert [counted >> 2 * k & 3 for k in range(len(line_dedup.LETTERS))] == ["banana tree, äöü eels".count(c) % 4 for c in line_dedup.LETTERS]
+
+
 def naive_print(text):
     w = text.encode().lower().split() if text else []
     grams = [b" ".join(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) > 3 else [b" ".join(w)] if w else []
