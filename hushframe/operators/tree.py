@@ -5,12 +5,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.operators import snapshot
+from hushframe.sources.staging import staged
 
 # Which elements a snapshot takes, which of them act, and which it keeps without text.
 SELECTED = ("input", "textarea", "select", "button", "td", "th", "p", "span", "div", "img", "label")
 ACTING, ACTING_ROLES = ("input", "textarea", "select", "button"), ("button", "link", "textbox", "combobox")
 CONTROLS = ("input", "button", "select", "textarea", "a", "img")
 LABEL, TEXT, OPTION, OPTIONS = 120, 600, 80, 40
+#: Elements of a task, about, where those of a page come together. The bytes of a shuffle say little of what a task then
+#: holds and sorts, as markup packs many times over.
+TASK_ELEMENTS = 100_000
 
 
 def attr(name: str) -> Column:
@@ -56,24 +60,32 @@ def labelled(nodes: DataFrame) -> DataFrame:
     that is its first child; what stands before the cell around it; for buttons, links and selections their own text;
     the element before it, if that has no children; alt, title or placeholder, the first that is there.
 
-    nodes are read three times: give a stored table.
+    nodes are counted and read several times: give a stored table. What ids lead to comes as further rows of a page, so that
+    whole elements cross the network once, by page, and stay together for what reads whole pages after this.
     """
     inner = snapshot.cleaned(F.col("inner"), LABEL)
     near = Window.partitionBy("page_id", "parent").orderBy("start")
-    n = nodes.withColumns({
+    first = lambda key: nodes.where((key.isNotNull()) & (key != "")).groupBy("page_id", key.alias("_key")).agg(F.min_by(inner, "start").alias("_text"))
+    named = first(F.when(F.col("tag") == "label", attr("for")))
+    id_ = F.nullif(attr("id"), F.lit(""))
+    fors = nodes.select("page_id", "start", id_.alias("_id")).where("_id IS NOT NULL").join(named.withColumnsRenamed({"_key": "_id", "_text": "_for"}), ["page_id", "_id"])
+    ids = nodes.select("page_id", "start", F.posexplode(F.split(attr("aria-labelledby"), r"\s+")).alias("_i", "_key")).where("_key <> ''")
+    texts = ids.join(first(attr("id")), ["page_id", "_key"]).where("_text <> ''").groupBy("page_id", "start")
+    texts = texts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_text"))), lambda x: x["_text"]), " ").alias("_by"))
+    found = fors.unionByName(texts, allowMissingColumns=True).withColumn("_found", F.lit(True)).distinct()
+    parts = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-nodes.count() // TASK_ELEMENTS))
+    n = nodes.withColumn("_id", id_).unionByName(found, allowMissingColumns=True).repartition(parts, "page_id")
+    n = n.withColumns({
+        "_for": F.max("_for").over(Window.partitionBy("page_id", "start", "_id")),
+        "_by": F.max("_by").over(Window.partitionBy("page_id", "start")),
+    }).where("_found IS NULL")
+    near = Window.partitionBy("page_id", "parent").orderBy("start")
+    n = n.withColumns({
         "_before": F.lag(inner).over(near),
         "_before_leaf": F.lag(F.col("children") == 0).over(near),
         "_next": F.lead(F.struct("tag", inner.alias("inner"))).over(Window.partitionBy("page_id").orderBy("start")),
     })
     n = with_enclosing(n, {"_wrap": (F.col("tag") == "label", inner), "_cell": (F.col("tag").isin("td", "th"), F.col("_before"))})
-    first = lambda key: nodes.where((key.isNotNull()) & (key != "")).groupBy("page_id", key.alias("_key")).agg(F.min_by(inner, "start").alias("_text"))
-    named = first(F.when(F.col("tag") == "label", attr("for")))
-    n = n.withColumn("_id", F.nullif(attr("id"), F.lit("")))
-    n = n.join(named.select("page_id", F.col("_key").alias("_id"), F.col("_text").alias("_for")), ["page_id", "_id"], "left")
-    ids = n.select("page_id", "start", F.posexplode(F.split(attr("aria-labelledby"), r"\s+")).alias("_i", "_key")).where("_key <> ''")
-    texts = ids.join(first(attr("id")), ["page_id", "_key"]).where("_text <> ''").groupBy("page_id", "start")
-    texts = texts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_text"))), lambda x: x["_text"]), " ").alias("_by"))
-    n = n.join(texts, ["page_id", "start"], "left")
     filled = lambda c: (F.coalesce(c, F.lit("")) != "", c)
     short = lambda c: snapshot.cleaned(c, LABEL)
     own_child = F.when((F.col("children") > 0) & F.col("_next.tag").isin("b", "strong", "label"), F.col("_next.inner"))
@@ -133,11 +145,11 @@ def snapshot_of_html(nodes: DataFrame) -> DataFrame:
         F.slice(F.transform(F.array_sort(F.collect_list(F.struct(F.col("start").alias("at"), choice.alias("text")))), lambda x: x["text"]), 1, OPTIONS).alias("options"),
         F.coalesce(F.max(chosen)["text"], F.min_by(inner(TEXT), "start")).alias("_chosen"),
     )
-    s = n.where(is_selected()).join(options, ["page_id", "start"], "left")
+    s = n.where(is_selected())
     s = s.withColumn("snapshot_id", F.row_number().over(Window.partitionBy("page_id").orderBy("start")) - 1)
     tag = F.col("tag")
     own = F.coalesce(F.nullif(snapshot.cleaned(F.col("own"), TEXT), F.lit("")), F.when(tag.isin("button", "a"), inner(TEXT)), F.lit(""))
-    text = F.when(tag == "input", snapshot.cleaned(attr("value"), TEXT)).when(tag == "textarea", inner(TEXT)).when(tag == "select", F.coalesce("_chosen", F.lit(""))).otherwise(own)
+    text = F.when(tag == "input", snapshot.cleaned(attr("value"), TEXT)).when(tag == "textarea", inner(TEXT)).otherwise(own)
     submits = (tag == "button") | ((tag == "input") & kind.isin("submit", "image"))
     leads = F.when(tag == "a", attr("href")).when(
         submits & F.col("_form").isNotNull(), F.coalesce(F.nullif(attr("formaction"), F.lit("")), F.nullif(F.col("_form.action"), F.lit("")), F.col("url"))
@@ -152,13 +164,20 @@ def snapshot_of_html(nodes: DataFrame) -> DataFrame:
     )
     s = s.withColumn("text", text).withColumn("target", target_of(leads, F.col("url")))
     s = s.where(tag.isin(*CONTROLS) | attr("role").isNotNull() | (F.col("text") != ""))
-    return s.select(
+    s = s.select(
         "page_id", "snapshot_id", "tag", snapshot.role_of(attr("role"), tag, kind).alias("role"), "text", "label", "target.*",
         F.when(field, F.when(F.coalesce((typed != "password") & code, F.lit(False)), "otp").otherwise(typed)).alias("input_type"),
         of_field(attr("autocomplete")).alias("autocomplete"), of_field(attr("inputmode")).alias("inputmode"), of_field(attr("maxlength")).alias("maxlength"),
-        F.when(tag == "select", F.coalesce("options", F.array().cast("array<string>"))).alias("options"),
         snapshot.enabled(attr("disabled").isNotNull(), attr("aria-disabled")).alias("enabled"), "start", F.col("_acts").alias("acts"),
     )
+    # Only what a snapshot keeps of an element meets its options: a selection is a control, and stays whatever its text.
+    s = s.join(options, ["page_id", "start"], "left")
+    chooses = F.col("tag") == "select"
+    return s.select(
+        "page_id", "snapshot_id", "tag", "role", F.when(chooses, F.coalesce("_chosen", F.lit(""))).otherwise(F.col("text")).alias("text"), "label",
+        "same_origin", "target_origin", "origin_source", "input_type", "autocomplete", "inputmode", "maxlength",
+        F.when(chooses, F.coalesce("options", F.array().cast("array<string>"))).alias("options"), "enabled", "start", "acts",
+    )
 
 
 def actionable_at(points: DataFrame, elements: DataFrame) -> DataFrame:
@@ -168,6 +187,7 @@ def actionable_at(points: DataFrame, elements: DataFrame) -> DataFrame:
     elements are those of ``snapshot_of_html`` with their box; of two that hold a point, the one later in the document
     is painted over the other. Points meet the boxes of their page only.
     """
+    elements = staged(elements.select("page_id", "box", "start", "snapshot_id", "acts"), "at-point-elements")
     e = elements.select(F.col("page_id").alias("_page"), "box", "start", F.struct("start", "snapshot_id", "acts").alias("_e"))
     inside = (F.col("x") >= F.col("box.x1")) & (F.col("x") < F.col("box.x2")) & (F.col("y") >= F.col("box.y1")) & (F.col("y") < F.col("box.y2"))
     top = points.join(e, (F.col("page_id") == F.col("_page")) & inside, "left").groupBy(*points.columns).agg(F.max("_e").alias("_top"))

@@ -172,3 +172,13 @@ def test_nearest_enclosing_is_the_innermost_that_is_open(spark):
     n = tree.with_enclosing(nodes, {"box": (F.col("tag") == "div", tree.attr("id")), "none": (F.col("tag") == "td", F.lit(1))})
     got = {(r.page_id, r.inner, r.tag): (r.box, r.none) for r in n.collect() if r.tag == "p"}
     assert got == {(k, t, "p"): (b, None) for k in (1, 2) for t, b in (("1", "b"), ("2", "a"), ("3", None))}
+
+
+def test_tasks_that_bring_pages_together_grow_with_their_elements(spark, monkeypatch):
+    monkeypatch.setattr(tree, "TASK_ELEMENTS", 10)
+    html = '<b id="a">one</b><label for="f">two</label><input id="f"><input aria-labelledby="a f"><button>three</button>'
+    pages = spark.createDataFrame([(k, "https://a.org/", html) for k in range(20)], "page_id long, url string, html string")
+    nodes = staged(dom.elements_of_html(pages), "t")
+    found = tree.labelled(nodes)
+    assert found.rdd.getNumPartitions() == 10
+    assert {(r.start, r.label, r["count"]) for r in found.groupBy("start", "label").count().collect()} == {(0, "", 20), (2, "two", 20), (4, "two", 20), (6, "one", 20), (8, "three", 20)}
