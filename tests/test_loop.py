@@ -140,3 +140,11 @@ def test_overmasking_counts_what_is_not_sensitive(spark):
     df = spark.createDataFrame([(1, "a", [(0, 0, 10, 10)], [(5, 0, 10, 10)]), (2, "a", [], [(0, 0, 5, 5)]), (3, "b", [], [])], f"page_id long, set string, masks array<{BOX}>, sensitive array<{BOX}>")
     got = {r.set: (r.over_px, r.overmask_pct) for r in loop.overmasked(df, "set", 20, 10).collect()}
     assert got == {"a": (50, 12.5), "b": (0, 0.0)}
+
+
+def test_values_of_templates_are_made_once(spark):
+    values = F.map_from_entries(F.array(F.struct(F.lit("A").alias("s"), F.col("id").cast("string").alias("v"))))
+    templates = F.array(F.struct(F.concat(F.lit("is {A} "), F.col("id").cast("string")).alias("text"), F.array(F.lit("A")).alias("slots")))
+    df = spark.range(2).select(folds.filled_templates(templates, values).alias("f"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("map_from_entries") == 1
+    assert [tuple(r.f) for r in df.collect()] == [(["is 0 0"], ["A"], []), (["is 1 1"], ["A"], [])]
