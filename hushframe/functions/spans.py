@@ -19,7 +19,10 @@ def _steps(shade: Column, pattern: str) -> Column:
     found, between = F.regexp_extract_all(shade, F.lit(pattern), F.lit(0)), F.split(shade, pattern, -1)
     each = F.zip_with(found, between, lambda m, b: F.struct(F.length(b).alias("gap"), F.length(m).alias("size")))
     # One piece more than there are matches lies between them.
-    return F.when(shade.rlike(pattern), F.filter(each, lambda x: x["size"].isNotNull())).otherwise(F.array().cast("array<struct<gap:int,size:int>>"))
+    there = shade.rlike(pattern)
+    if pattern in rules.NEEDS:
+        there = shade.rlike(rules.NEEDS[pattern]) & there
+    return F.when(there, F.filter(each, lambda x: x["size"].isNotNull())).otherwise(F.array().cast("array<struct<gap:int,size:int>>"))
 
 
 def _length(run: Column) -> Column:
