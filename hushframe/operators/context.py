@@ -4,8 +4,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions import rules
-from hushframe.functions.bind import let
-from hushframe.functions.geometry import area, coverage, near, rebased
+from hushframe.functions.bind import computed, let
+from hushframe.functions.geometry import area, coverage, meets, near, rebased
 from hushframe.functions.text import goal_score, terms
 from hushframe.operators.spatial import first_agreement
 
@@ -17,7 +17,9 @@ def _flag(items: DataFrame, plan: DataFrame, threshold: float, name: str) -> Dat
     """Whether one plan item of the page covers more than the threshold of an item: a page's plan is one array, so that
     items are joined once."""
     masks = plan.groupBy("page_id").agg(F.collect_list("box").alias("_masks"))
-    hit = F.exists("_masks", lambda m: coverage(F.col("box"), m) > threshold)
+    # Most boxes are apart, which four comparisons show.
+    apart = (lambda m: ~meets(F.col("box"), m)) if threshold >= 0 else (lambda m: F.lit(False))
+    hit = F.exists("_masks", lambda m: F.when(apart(m), False).otherwise(coverage(F.col("box"), m) > threshold))
     return items.join(masks, "page_id", "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop("_masks")
 
 
@@ -49,7 +51,7 @@ def selected_context(scored: DataFrame, width: Column, height: Column, pad: int
 
     # One pass: the regions of a page are one array. Sensitive ones are counted, but not collected.
     open_ = F.collect_list(F.when(~F.col("sensitive"), region))
-    out = scored.groupBy("page_id").agg(F.count("*").alias("considered"), open_.alias("_open")).withColumn("_kept", kept(F.col("_open")))
+    out = computed(scored.groupBy("page_id").agg(F.count("*").alias("considered"), open_.alias("_open")), "_kept", kept(F.col("_open")))
     side = lambda name, pick: pick(F.transform("_kept", lambda x: x["box"][name])).alias(name)
     half_up = lambda c: F.floor(c + F.lit(0.5)).cast("int")
     out = out.select(
