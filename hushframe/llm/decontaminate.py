@@ -119,8 +119,11 @@ def _blocks(benchmark: DataFrame, limit: int) -> list[DataFrame]:
 FOUND = "n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """row (each row of docs) and _found: n_words, spans (word ranges inside occurrences of benchmark windows) and items.
+def benchmark_hits(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, cut: bool = False
+) -> DataFrame:
+    """row (each row of docs) and _found: n_words, spans (word ranges inside occurrences of benchmark windows) and items;
+    if asked to cut, also kept, the text without its spans, null where it has none.
 
     Words and windows are those of the module's ``words_of`` (ASCII letters lower-cased; letters, digits and all
     non-ASCII characters make words); an item of fewer words than a window is one window, an item of none has none.
@@ -128,29 +131,37 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     broadcast block by block, each block in a scan of its own, and a row's results are put together by a row number.
     Null and empty texts have no words and no hits. Repeated rows are scanned each. Items that repeat an item_id
     count as one item; null item_ids are left out of items but their windows hit. Columns of docs may have any names.
+
+    A task has one Python worker at a time: each that runs beside another stays with the executor, to be used again, and
+    takes some 100 MB. So a scan within the limit also cuts, and its function counts as not deterministic, or
+    a filter on what it finds would make Spark run it twice.
     """
     spark = docs.sparkSession
+    blocks, docs = _blocks(benchmark, block_bytes), docs.select(F.struct("*").alias("row"))
+    at_once = cut and len(blocks) == 1
 
     def scan(rows: DataFrame, part: DataFrame) -> DataFrame:
         items = [(r["item_id"], r["text"]) for r in part.select("item_id", "text").collect()]
         known = spark.sparkContext.broadcast(Windows(items, window))
 
-        @F.pandas_udf(FOUND)
+        @F.pandas_udf(f"{FOUND}, kept string" if at_once else FOUND)
         def find(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             index = known.value
             for batch in texts:
-                n_words, spans, names = [], [], []
+                n_words, spans, names, kept = [], [], [], []
                 for text in batch:
                     words = words_of(text)
                     hits = index.find(words)
+                    hit = merged([(at, at + n) for at, n, _ in hits])
                     n_words.append(len(words))
-                    spans.append([{"start": a, "end": b} for a, b in merged([(at, at + n) for at, n, _ in hits])])
+                    spans.append([{"start": a, "end": b} for a, b in hit])
                     names.append(sorted({str(i) for _, _, x in hits for i in x if i is not None}))
-                yield pd.DataFrame({"n_words": n_words, "spans": spans, "items": names})
+                    kept.append(without_words(text, hit) if at_once and hit else None)
+                out = pd.DataFrame({"n_words": n_words, "spans": spans, "items": names})
+                yield out.assign(kept=pd.Series(kept, dtype=object)) if at_once else out
 
-        return rows.withColumn("_found", find("row.text"))
+        return rows.withColumn("_found", find.asNondeterministic()("row.text"))
 
-    blocks, docs = _blocks(benchmark, block_bytes), docs.select(F.struct("*").alias("row"))
     if len(blocks) == 1:
         out = scan(docs, blocks[0])
     else:
@@ -167,6 +178,16 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             ).alias("_found")
         )
         out = rows.join(together, "_row").drop("_row")
+        if cut:
+
+            @F.pandas_udf("string")
+            def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
+                # All rows come here, whatever condition stands around the call.
+                return pd.Series(
+                    [without_words(t, [(s["start"], s["end"]) for s in x]) if len(x) else None for t, x in zip(texts, spans)], dtype=object
+                )
+
+            out = out.withColumn("_found", F.col("_found").withField("kept", kept("row.text", "_found.spans")))
     return out
 
 
@@ -205,17 +226,11 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     A hit span is cut from its first word to the start of the next word outside it (to the end of the text if there is
     none). Rows without hits pass unchanged, null and empty texts too, and so do all other columns.
     """
-    share = hit_words(F.col("_found.spans")) / F.col("_found.n_words")
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        # All rows come here, whatever condition stands around the call.
-        return pd.Series(
-            [without_words(t, [(s["start"], s["end"]) for s in x]) if len(x) else t for t, x in zip(texts, spans)], dtype=object
-        )
-
-    found = benchmark_hits(docs, benchmark, window).where((F.size("_found.spans") == 0) | (share <= F.lit(max_share)))
-    return found.select(F.col("row").withField("text", cut("row.text", "_found.spans")).alias("row")).select("row.*")
+    spans = F.col("_found.spans")
+    share = hit_words(spans) / F.col("_found.n_words")
+    found = benchmark_hits(docs, benchmark, window, cut=True).where((F.size(spans) == 0) | (share <= F.lit(max_share)))
+    text = F.when(F.size(spans) > 0, F.col("_found.kept")).otherwise(F.col("row.text"))
+    return found.select(F.col("row").withField("text", text).alias("row")).select("row.*")
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:

@@ -302,6 +302,21 @@ def test_contamination(spark, limit):
     assert all(not r.contaminated for r in decontaminate.contamination(docs(spark, rows), bench.limit(0)).collect())
 
 
+def test_decontamination_is_one_python_pass(spark):
+    """The pipeline: each function that runs beside another keeps workers of its own in an executor's memory."""
+    rows = [(k, t) for k, t in enumerate([None, "", "short", f"before {' '.join(f'w{i}' for i in range(12))} and a good many words after it", "w1 w2 w3"])]
+    bench = spark.createDataFrame([("x", " ".join(f"w{i}" for i in range(10))), ("y", "w4 w5 w6 w7 w8 w9 w10 w11 and a")], "item_id string, text string")
+    d = docs(spark, rows)
+    plan = decontaminate.decontaminated(d, bench)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1, plan
+    assert decontaminate.contamination(d, bench)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    whole, parts = (
+        {r.doc_id: r.kept for r in decontaminate.benchmark_hits(d, bench, cut=True, **limit).select("row.doc_id", "_found.kept").collect()}
+        for limit in ({}, {"block_bytes": 20})
+    )
+    assert whole == parts == {0: None, 1: None, 2: None, 3: "before good many words after it", 4: None}
+
+
 def test_decontaminated(spark):
     ten = "one two three four five six seven eight nine ten"
     bench = spark.createDataFrame([(1, ten)], "item_id long, text string")
