@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushframe.functions.geometry import clipped, union_area
+from hushframe.functions.geometry import union_area
+from hushframe.functions.pixels import union_pixels
 from hushframe.sources.staging import staged
 
 
@@ -100,15 +101,13 @@ def latency(samples: DataFrame, by: str, page: str, order: list[str], value: str
 
 
 def masked_pixels(pages: DataFrame, width: int, height: int) -> DataFrame:
-    """By page (masks, sensitive: arrays of boxes) the pixels of each union, of both together, and of their overlap."""
-    on_page = lambda c: F.transform(c, lambda b: clipped(b, width, height))
-    p = pages.withColumn("masks", on_page("masks")).withColumn("sensitive", on_page("sensitive"))
-    p = (
-        p.withColumn("mask_px", union_area(F.col("masks")))
-        .withColumn("sensitive_px", union_area(F.col("sensitive")))
-        .withColumn("either_px", union_area(F.concat("masks", "sensitive")))
-    )
-    return p.withColumn("both_px", F.col("mask_px") + F.col("sensitive_px") - F.col("either_px")).drop("masks", "sensitive")
+    """By page (masks, sensitive: arrays of boxes) the pixels of each union, of both together, and of their overlap.
+
+    Counted for a batch of pages at once; the function counts as not deterministic so that no filter runs it again.
+    """
+    p = pages.withColumn("_px", union_pixels(F.col("masks"), F.col("sensitive"), width, height))
+    p = p.select(*(F.col(f"`{c}`") for c in pages.columns if c not in ("masks", "sensitive")), "_px.*")
+    return p.withColumn("both_px", F.col("mask_px") + F.col("sensitive_px") - F.col("either_px"))
 
 
 def target_visible(target: Column, masks: Column, most: float = 0.5) -> Column:
